@@ -24,7 +24,7 @@ from .components import connected_components
 #: Bits in which linked fingerprints may differ, and words in a shingle.
 RADIUS, SHINGLE = 4, 4
 #: Fingerprints meant for one shard; at most so many are sampled to place the vantage points.
-SHARD_ROWS, SAMPLE_ROWS = 4096, 1 << 16
+SHARD_ROWS, SAMPLE_ROWS = 32768, 1 << 16
 #: Blocks of this size are compared without further pruning.
 LEAF = 256
 
