@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, html_extract, line_dedup, shard, simhash, substring_dedup, warc
+from . import ann, bpe, decontam, html_extract, line_dedup, quality, shard, simhash, substring_dedup, warc
 from .common import table
 
 
@@ -25,6 +25,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -50,8 +58,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_line_dedup, op5_sharding, op6_html_extraction, op7_substring_dedup, op8_warc, op9_ann, op10_simhash)}
+    return {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_decontamination, op4_quality, op5_sharding, op6_html_extraction, op7_substring_dedup, op8_warc, op9_ann, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.SQL, "op8_warc": warc.SQL}
+    return {"op2_line_dedup": line_dedup.SQL, "op3_decontamination": decontam.SQL, "op8_warc": warc.SQL}
