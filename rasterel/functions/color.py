@@ -85,8 +85,25 @@ def distance_sq(one: Lab, other: Lab) -> Column:
 
 
 def with_oklab(df: DataFrame, prefix: str = "ok_", channels: tuple[str, str, str] = ("r", "g", "b")) -> DataFrame:
-    """``df`` plus the Oklab columns of its colour columns."""
-    return df.withColumns(rgb_to_oklab(*map(F.col, channels)).columns(prefix))
+    """``df`` plus the Oklab columns of its colour columns.
+
+    Each step is a projection of its own: what a later one uses several times is computed once.
+    """
+    light = df.withColumns({f"_q{k}": srgb_to_linear(F.col(c)) for k, c in enumerate(channels)})
+    roots = light.withColumns({f"_q{k}": F.cbrt(x) for k, x in enumerate(_times(TO_LMS, _steps()))})
+    return roots.withColumns(dict(zip((f"{prefix}{c}" for c in "lab"), _times(TO_LAB, _steps())))).drop("_q0", "_q1", "_q2")
+
+
+def with_rgb(df: DataFrame, lab: Lab, names: tuple[str, str, str] = ("r", "g", "b")) -> DataFrame:
+    """``df`` plus the 8-bit channels of an Oklab colour, in projections as above."""
+    out = df.withColumns({f"_q{k}": x for k, x in enumerate(_times(FROM_LAB, [lab.l, lab.a, lab.b]))})
+    out = out.withColumns({f"_q{k}": x * x * x for k, x in enumerate(_steps())})
+    out = out.withColumns({f"_q{k}": F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0)) for k, x in enumerate(_times(FROM_LMS, _steps()))})
+    return out.withColumns({n: linear_to_srgb(x) for n, x in zip(names, _steps())}).drop("_q0", "_q1", "_q2")
+
+
+def _steps() -> list[Column]:
+    return [F.col(f"_q{k}") for k in range(3)]
 
 
 def posterized(lab: Lab, levels: int) -> Lab:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterel.functions.color import is_skin, rgb_to_oklab
+from rasterel.functions.color import Lab, is_skin, with_oklab
 from rasterel.sources.shared import written
 
 from . import kernels
@@ -89,7 +89,7 @@ def without_small(points: DataFrame, least: int, method: str = "kernel") -> Data
 
 def skin(pixels: DataFrame) -> DataFrame:
     """The pixels of skin colour that are solid enough."""
-    return pixels.where((F.col("a") >= 96) & is_skin(rgb_to_oklab(F.col("r"), F.col("g"), F.col("b"))))
+    return with_oklab(pixels.where("a >= 96")).where(is_skin(Lab.of("ok_"))).select(*pixels.columns)
 
 
 def faces(pixels: DataFrame, sizes: DataFrame, method: str = "kernel") -> DataFrame:
@@ -104,7 +104,7 @@ def eyes(pixels: DataFrame, face_boxes: DataFrame, method: str = "kernel") -> Da
     """(image_id, x0, y0, x1, y1) of small dark 4-connected blobs within faces."""
     face = face_boxes.select("image_id", *(F.col(c).alias(f"f{c}") for c in ("x0", "y0", "x1", "y1")))
     inside = pixels.join(face, KEY).where("x >= fx0 and x < fx1 and y >= fy0 and y < fy1 and a >= 96")
-    dark = inside.where(rgb_to_oklab(F.col("r"), F.col("g"), F.col("b")).l < 0.45)
+    dark = with_oklab(inside).where("ok_l < 0.45")
     boxes = component_boxes(labelled(dark, 4, method)).join(face, KEY)
     return boxes.where((F.col("size") >= 2) & (F.col("x1") - F.col("x0") <= F.floor((F.col("fx1") - F.col("fx0")) / 2))).select("image_id", "x0", "y0", "x1", "y1")
 

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterel.functions.color import Lab, distance_sq, oklab_to_rgb, packed, rgb_to_oklab, unpacked, with_oklab
+from rasterel.functions.color import Lab, distance_sq, packed, unpacked, with_oklab, with_rgb
+from rasterel.functions.color import posterized as stepped
 
 from . import kernels
 from .pixels import KEY, OFFSETS, SIDES, neighbour, with_neighbours
@@ -79,9 +80,8 @@ def nearest_remap(pixels: DataFrame, palette: DataFrame, mask: str | None = None
     a distinct colour; the palette meets them as one array, so that no pair is ever a row.
     """
     own = [k for k in keys if k in palette.columns]
-    lab = rgb_to_oklab(F.col("r"), F.col("g"), F.col("b"))
-    entry = F.struct("idx", "r", "g", "b", lab.l.alias("l"), lab.a.alias("la"), lab.b.alias("lb"))
-    listed = palette.groupBy(*own).agg(F.array_sort(F.collect_list(entry)).alias("_p"))
+    entry = F.struct("idx", "r", "g", "b", F.col("ok_l").alias("l"), F.col("ok_a").alias("la"), F.col("ok_b").alias("lb"))
+    listed = with_oklab(palette).groupBy(*own).agg(F.array_sort(F.collect_list(entry)).alias("_p"))
     colors = with_oklab(pixels.where(mask) if mask else pixels).select(*own, code().alias("_c"), "ok_l", "ok_a", "ok_b").distinct()
     paired = colors.join(listed, own) if own else colors.crossJoin(F.broadcast(listed))  # one row
     far = lambda p: distance_sq(Lab.of("ok_"), Lab(p.l, p.la, p.lb))
@@ -95,26 +95,26 @@ def nearest_remap(pixels: DataFrame, palette: DataFrame, mask: str | None = None
 
 def posterized(pixels: DataFrame, mask: str, levels: int) -> DataFrame:
     """pixels with masked lightness in even steps."""
-    from rasterel.functions.color import posterized as stepped
-
     if levels < 2:
         return pixels
-    new = oklab_to_rgb(stepped(rgb_to_oklab(F.col("r"), F.col("g"), F.col("b")), levels))
-    return pixels.withColumns({c: F.when(F.col(mask), v).otherwise(F.col(c)) for c, v in zip("rgb", new)})
+    return _masked_rgb(with_oklab(pixels), stepped(Lab.of("ok_"), levels), mask, pixels.columns)
+
+
+def _masked_rgb(df: DataFrame, lab: Lab, mask: str, columns: list[str]) -> DataFrame:
+    """columns of df, masked pixels in another colour."""
+    new = with_rgb(df, lab, ("_r", "_g", "_b"))
+    return new.select(*(F.when(F.col(mask), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in ("r", "g", "b") else c for c in columns))
 
 
 def flat_bands(pixels: DataFrame, mask: str, levels: int) -> DataFrame:
     """Posterized pixels whose hue is the mean of their image's lightness band."""
-    from pyspark.sql import Window
-
     if levels < 2:
         return pixels
     lab = with_oklab(posterized(pixels, mask, levels))
     band = F.greatest(F.least(F.round(F.col("ok_l") * (levels - 1)), F.lit(levels - 1.0)), F.lit(0.0)).cast("int")
     group = Window.partitionBy("image_id", mask, "_band")
     mean = lab.withColumn("_band", band).withColumns({"_a": F.avg("ok_a").over(group), "_b": F.avg("ok_b").over(group)})
-    new = oklab_to_rgb(Lab(F.col("ok_l"), F.col("_a"), F.col("_b")))
-    return mean.withColumns({c: F.when(F.col(mask), v).otherwise(F.col(c)) for c, v in zip("rgb", new)}).select(*pixels.columns)
+    return _masked_rgb(mean.withColumns({"ok_a": F.col("_a"), "ok_b": F.col("_b")}).drop("_a", "_b"), Lab.of("ok_"), mask, pixels.columns)
 
 
 def lloyd_round(colors: DataFrame, centres: DataFrame) -> DataFrame:
@@ -134,11 +134,10 @@ def lloyd_round(colors: DataFrame, centres: DataFrame) -> DataFrame:
 
 def lloyd_refined(colors: DataFrame, palette: DataFrame, rounds: int) -> DataFrame:
     """(image_id, r, g, b): the palette after some rounds, in 8 bits, without repeats."""
-    lab = rgb_to_oklab(F.col("r"), F.col("g"), F.col("b"))
-    centres = palette.select(*KEY, "idx", lab.l.alias("l"), lab.a.alias("a"), lab.b.alias("b"), *(["frozen"] if "frozen" in palette.columns else []))
+    centres = with_oklab(palette).select(*KEY, "idx", *(F.col(f"ok_{c}").alias(c) for c in "lab"), *(["frozen"] if "frozen" in palette.columns else []))
     for _ in range(rounds):
         centres = lloyd_round(colors, centres)
-    return centres.select(*KEY, *(c.alias(n) for c, n in zip(oklab_to_rgb(Lab(F.col("l"), F.col("a"), F.col("b"))), "rgb"))).distinct()
+    return with_rgb(centres, Lab(F.col("l"), F.col("a"), F.col("b")), ("_r", "_g", "_b")).select(*KEY, *(F.col(f"_{c}").alias(c) for c in "rgb")).distinct()
 
 
 # Clean-up ------------------------------------------------------------------------------------------

@@ -230,7 +230,7 @@ def sample_mode(celled: DataFrame, saliency: float = 1.0) -> DataFrame:
 def sample_area(celled: DataFrame, saliency: float = 1.0) -> DataFrame:
     """(image_id, tx, ty, r, g, b, a, coverage): each cell's weighted mean in linear light."""
     w = F.when(F.col("fg"), _weight(saliency)).otherwise(0.0)
-    sums = celled.withColumn("_w", w).groupBy(*KEY, "tx", "ty").agg(F.sum("_w").alias("_w"), *(F.sum(F.col("_w") * srgb_to_linear(F.col(c))).alias(f"_{c}") for c in "rgb"), (F.count_if("fg") / F.count("*")).alias("coverage"))
+    sums = celled.withColumn("_w", w).withColumns({f"_l{c}": srgb_to_linear(F.col(c)) for c in "rgb"}).groupBy(*KEY, "tx", "ty").agg(F.sum("_w").alias("_w"), *(F.sum(F.col("_w") * F.col(f"_l{c}")).alias(f"_{c}") for c in "rgb"), (F.count_if("fg") / F.count("*")).alias("coverage"))
     some = F.col("_w") > 0
     return sums.select(*KEY, "tx", "ty", *(F.when(some, linear_to_srgb(F.col(f"_{c}") / F.col("_w"))).otherwise(0).alias(c) for c in "rgb"), F.when(some, 255).otherwise(0).alias("a"), "coverage")
 
