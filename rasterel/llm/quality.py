@@ -31,7 +31,7 @@ SAMPLE_ROWS, VOCABULARY, SHAPES, LENGTH, HIDDEN = 12_000, 6000, 600, 64, 32
 #: Score from which a document counts as good.
 THRESHOLD = 0.3
 #: Rows of a learning task; tokens pooled at a time; words whose tokens a task remembers.
-TASK_ROWS, CHUNK_TOKENS, CACHE_WORDS = 2000, 400_000, 200_000
+TASK_ROWS, CHUNK_TOKENS, CACHE_WORDS = 2000, 100_000, 200_000
 
 
 def shape(word: str) -> str:
