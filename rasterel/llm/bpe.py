@@ -16,6 +16,7 @@ import mmap
 import os
 import tempfile
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,17 +27,23 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Most words in the lexicon and the fewest times one occurs; fixed bounds at any corpus size.
-LEXICON_WORDS, LEXICON_MIN_COUNT = 1 << 15, 2
-#: Distinct words that a task counts before it hands its counts on; encoded words that it keeps.
-COUNT_WORDS, CACHE_WORDS = 200_000, 250_000
-#: Words encoded at a time (one document at least).
+LEXICON_WORDS, LEXICON_MIN_COUNT = 1 << 17, 2
+#: Distinct chunks that a task counts before it hands its counts on; encoded chunks that it keeps.
+COUNT_WORDS, CACHE_WORDS = 500_000, 400_000
+#: Chunks encoded at a time (one document at least).
 CHUNK_WORDS = 200_000
 
 #: White space as the tokenizer's \s understands it.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: Fixed values of the tokenizer file's pre-tokenizer, with its \s spelt out.
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+_NO_SPACE = regex.compile(rf"[^{_SPACE}]+")
+_ODD = regex.compile(r"[\x1c-\x1f]")
+#: Stands for a pair that no merge joins.
+_NEVER = 1 << 62
 
 
 def _byte_letters() -> list[str]:
@@ -56,45 +63,65 @@ class Model:
         self.ids: dict[str, int] = bpe["vocab"]
         self.suffix = bpe["end_of_word_suffix"] or ""
         pairs = (m if isinstance(m, list) else m.split(" ") for m in bpe["merges"])
-        self.merges = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        # By pair: rank and new id in one number.
+        self.merges = {(self.ids[a], self.ids[b]): rank << 20 | self.ids[a + b] for rank, (a, b) in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (self.ids | self.special).items()}
-        self.letters = _byte_letters()
+        self.digits = {i: str(i) for i in self.tokens}
+        letters = _byte_letters()
+        self.inner = [self.ids.get(x) for x in letters]
+        self.final = [self.ids.get(x + self.suffix) for x in letters]
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
-    def words(self, text: str | None) -> list[str]:
-        """Pre-tokens in order; an added token found in the raw text is a word with a leading NUL."""
+    def chunks(self, text: str | None) -> list[str]:
+        """Normalised stretches without white space; an added token found in the raw text is one after a space."""
         if not text:
             return []
         if self.cut is None or not self.cut.search(text):
-            return self._plain(text)
+            return self._split(text)
         out: list[str] = []
         for part in self.cut.split(text):
-            out += ["\0" + part] if part in self.special else self._plain(part)
+            out += [" " + part] if part in self.special else self._split(part)
         return out
 
     @staticmethod
-    def _plain(text: str) -> list[str]:
+    def _split(text: str) -> list[str]:
         text = unicodedata.normalize("NFC", text)
         # Letter by letter where it matters: the tokenizer knows no final sigma.
         text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
-        return _WORD.findall(text)
+        # str.split() also splits at four control characters that are no white space here.
+        return text.split() if not _ODD.search(text) else _NO_SPACE.findall(text)
+
+    def words_of_chunk(self, chunk: str) -> list[str]:
+        """The pre-tokens of a chunk."""
+        if chunk.isalpha() or chunk[0] == " ":
+            return [chunk]
+        if chunk[-1] in ".,!?;:" and chunk[:-1].isalpha():  # the usual case, without the pattern
+            return [chunk[:-1], chunk[-1]]
+        return _WORD.findall(chunk)
+
+    def words(self, text: str | None) -> list[str]:
+        """The pre-tokens of a text in order."""
+        return [w for c in self.chunks(text) for w in self.words_of_chunk(c)]
 
     def merge(self, word: str) -> list[int]:
         """The ids of one pre-token by exact merging: lowest rank first, leftmost of equals."""
-        if word[:1] == "\0" and word[1:] in self.special:
+        if word[:1] == " ":
             return [self.special[word[1:]]]
-        letters = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
-        letters[-1] += self.suffix
-        ids = [self.ids[x] for x in letters if x in self.ids]
-        merges = self.merges
-        while len(ids) > 1:
-            found = [merges.get(p) for p in zip(ids, ids[1:])]
-            best = min((m for m in found if m), default=None)
-            if best is None:
-                break
+        data = word.encode("utf-8", "surrogatepass")
+        ids = [self.inner[b] for b in data[:-1]] + [self.final[data[-1]]]
+        if None in ids:
+            ids = [i for i in ids if i is not None]
+        get = self.merges.get
+        found = [get(p, _NEVER) for p in zip(ids, ids[1:])]
+        while found and (best := min(found)) != _NEVER:
             at = found.index(best)
-            ids[at : at + 2] = [best[1]]
+            new = ids[at] = best & 0xFFFFF
+            del ids[at + 1], found[at]
+            if at < len(found):
+                found[at] = get((new, ids[at + 1]), _NEVER)
+            if at:
+                found[at - 1] = get((ids[at - 1], new), _NEVER)
         return ids
 
     def decode(self, ids: list[int]) -> str:
@@ -106,10 +133,10 @@ class Transducer:
     """A memory-mapped minimal acyclic automaton from words to id sequences.
 
     Arrays: arc keys (state * 256 + byte, ascending), arc targets, words passed by on each arc,
-    final states, where each word's ids begin, ids.
+    final states, where each word's ids begin, ids, and a hash table from keys to arcs.
     """
 
-    FIELDS = (("keys", np.int64), ("targets", np.int32), ("skips", np.int32), ("finals", np.bool_), ("starts", np.int64), ("outputs", np.int32))
+    FIELDS = (("keys", np.int64), ("targets", np.int32), ("skips", np.int32), ("finals", np.bool_), ("starts", np.int64), ("outputs", np.int32), ("slots", np.int32))
 
     def __init__(self, buffer):
         head = np.frombuffer(buffer, np.int64, len(self.FIELDS))
@@ -117,6 +144,35 @@ class Transducer:
         for (name, kind), n in zip(self.FIELDS, head.tolist()):
             setattr(self, name, np.frombuffer(buffer, kind, n, at))
             at += -(-n * np.dtype(kind).itemsize // 8) * 8
+        self.output_list, self.start_list = self.outputs.tolist(), self.starts.tolist()
+
+    @staticmethod
+    def _place(keys: np.ndarray, bits: int) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+
+    @classmethod
+    def _hashed(cls, keys: np.ndarray) -> np.ndarray:
+        """A table of arc numbers, twice as large as needed: an arc stands at its key's place or soon after."""
+        bits = max(4, int(len(keys) * 2).bit_length())
+        table, at, todo = np.full(1 << bits, -1, np.int32), cls._place(keys, bits), np.arange(len(keys))
+        while len(todo):
+            free = table[at[todo]] < 0
+            table[at[todo[free]]] = todo[free]  # of several, one stays
+            todo = todo[table[at[todo]] != todo]
+            at[todo] = (at[todo] + 1) & ((1 << bits) - 1)
+        return table
+
+    def _arcs(self, keys: np.ndarray) -> np.ndarray:
+        """The number of the arc with each key, -1 for none."""
+        mask = len(self.slots) - 1
+        at = self._place(keys, mask.bit_length())
+        out = self.slots[at]
+        todo = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & mask
+            out[todo] = self.slots[at[todo]]
+            todo = todo[(out[todo] >= 0) & (self.keys[out[todo]] != keys[todo])]
+        return out
 
     @classmethod
     def open(cls, path: str) -> Transducer:
@@ -175,7 +231,8 @@ class Transducer:
                 skips.append(passed)
                 passed += below[target]
         outputs = [lexicon[w] for w in sorted(lexicon)]
-        fields = (keys, targets, skips, [final[s] for s in queue], np.cumsum([0, *map(len, outputs)]), [i for x in outputs for i in x])
+        slots = cls._hashed(np.array(keys, np.int64))
+        fields = (keys, targets, skips, [final[s] for s in queue], np.cumsum([0, *map(len, outputs)]), [i for x in outputs for i in x], slots)
         arrays = [np.asarray(x, kind) for x, (_, kind) in zip(fields, cls.FIELDS)]
         parts = [np.array([len(a) for a in arrays], np.int64).tobytes()]
         for a in arrays:
@@ -192,9 +249,8 @@ class Transducer:
         out = np.full(len(words), -1, np.int64)
         depth = 0
         while len(live):
-            want = state[live] * 256 + text[begin[live] + depth]
-            arc = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
-            hit = self.keys[arc] == want
+            arc = self._arcs(state[live] * 256 + text[begin[live] + depth])
+            hit = arc >= 0
             live, arc = live[hit], arc[hit]
             state[live] = self.targets[arc]
             number[live] += self.skips[arc]
@@ -207,7 +263,7 @@ class Transducer:
         return out
 
     def ids(self, number: int) -> list[int]:
-        return self.outputs[self.starts[number] : self.starts[number + 1]].tolist()
+        return self.output_list[self.start_list[number] : self.start_list[number + 1]]
 
 
 _loaded: dict[str, object] = {}  # by digest, in a Python worker
@@ -220,29 +276,38 @@ def _model(data: bytes, digest: str) -> Model:
 
 
 class Encoder:
-    """Encodes words through the transducer, else by merging; keeps what it has encoded up to a bound."""
+    """Encodes chunks word by word through the transducer, else by merging; keeps what it has encoded up to a bound."""
 
     def __init__(self, model: Model, lexicon: Transducer | None = None):
         self.model, self.lexicon = model, lexicon
         self.id_text: dict[str, str] = {}
         self.token_text: dict[str, str] = {}
-
-    def learn(self, words: list[str]) -> None:
-        fresh = list(set(words).difference(self.id_text))
-        if len(self.id_text) + len(fresh) > CACHE_WORDS:
-            self.id_text.clear()
-            self.token_text.clear()
-            fresh = list(set(words))
-        numbers = self.lexicon.find([w.encode("utf-8", "surrogatepass") for w in fresh]).tolist() if self.lexicon and fresh else [-1] * len(fresh)
-        for word, number in zip(fresh, numbers):
+        self.last: set[str] = set()
+
+    def learn(self, chunks: set[str]) -> None:
+        if len(self.id_text) + len(chunks) > CACHE_WORDS:  # what the last call and this one use stays
+            kept = (self.last | chunks).intersection(self.id_text)
+            self.id_text = {c: self.id_text[c] for c in kept}
+            self.token_text = {c: self.token_text[c] for c in kept}
+        self.last = chunks
+        id_text, token_text = self.id_text, self.token_text
+        fresh = chunks.difference(id_text)
+        parts = {c: self.model.words_of_chunk(c) for c in fresh}
+        words = list({w for p in parts.values() for w in p}.difference(id_text))
+        numbers = self.lexicon.find([w.encode("utf-8", "surrogatepass") for w in words]).tolist() if self.lexicon and words else [-1] * len(words)
+        digits, tokens = self.model.digits, self.model.tokens
+        for word, number in zip(words, numbers):
             ids = self.lexicon.ids(number) if number >= 0 else self.model.merge(word)
-            self.id_text[word] = " ".join(map(str, ids))
-            self.token_text[word] = self.model.decode(ids)
+            id_text[word] = " ".join([digits[i] for i in ids])
+            token_text[word] = " ".join([tokens[i] for i in ids])
+        for chunk, part in parts.items():
+            if len(part) != 1 or part[0] != chunk:
+                id_text[chunk] = " ".join([id_text[w] for w in part])
+                token_text[chunk] = " ".join([token_text[w] for w in part])
 
-    def encode(self, words: list[str]) -> tuple[str, str]:
-        """(decimal ids joined by spaces, decoded text) of words that ``learn`` has seen."""
-        ids = " ".join(map(self.id_text.__getitem__, words))
-        return ids, " ".join(map(self.token_text.__getitem__, words))
+    def encode(self, chunks: list[str]) -> tuple[str, str]:
+        """(decimal ids joined by spaces, decoded text) of chunks that ``learn`` has seen."""
+        return " ".join(map(self.id_text.__getitem__, chunks)), " ".join(map(self.token_text.__getitem__, chunks))
 
 
 def word_counts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
@@ -254,12 +319,16 @@ def word_counts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Data
         model, found = _model(shared.value, digest), Counter()
 
         def out():
-            words = [w.encode("utf-8", "surrogatepass") for w in found]
-            return pa.record_batch([pa.array(words, pa.binary()), pa.array(found.values(), pa.int64())], names=["word", "n"])
+            counts: dict[str, int] = {}
+            for chunk, n in found.items():
+                for w in model.words_of_chunk(chunk):
+                    counts[w] = counts.get(w, 0) + n
+            words = [w.encode("utf-8", "surrogatepass") for w in counts]
+            return pa.record_batch([pa.array(words, pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
 
         for batch in batches:
             for text in batch.column(0):
-                found.update(model.words(text.as_py()))
+                found.update(model.chunks(text.as_py()))
                 if len(found) > COUNT_WORDS:
                     yield out()
                     found.clear()
@@ -269,10 +338,22 @@ def word_counts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Data
 
 
 def build_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", most: int = LEXICON_WORDS, min_count: int = LEXICON_MIN_COUNT) -> bytes:
-    """The transducer file for the most frequent words (ties: smaller word) of the whole corpus."""
+    """The transducer file for the most frequent words of the whole corpus, at most ``most``.
+
+    Words are taken from a count on that lets no more than ``most`` through: counts are compared
+    in steps of an eighth of a doubling, so that a small table decides and no sort is needed.
+    """
     model = Model(open(tokenizer, "rb").read())
-    top = word_counts(docs, tokenizer, text_col).where(F.col("n") >= min_count).orderBy(F.desc("n"), "word").limit(most).collect()
-    words = [bytes(r.word) for r in top]
+    step = F.floor(F.log2("n") * 8)
+    counts = written(word_counts(docs, tokenizer, text_col).where(F.col("n") >= min_count))
+    sizes = {r.step: r.words for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()}  # 512 rows at most
+    lowest, held = float("inf"), 0
+    for k in sorted(sizes, reverse=True):
+        held += sizes[k]
+        if held > most:
+            break
+        lowest = k
+    words = [bytes(r.word) for r in counts.where(step >= lowest).select("word").collect()] if lowest < float("inf") else []
     return Transducer.compile({w: model.merge(w.decode("utf-8", "surrogatepass")) for w in words if w})
 
 
@@ -287,7 +368,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     sc = spark.sparkContext
     data = open(tokenizer, "rb").read()
     lexicon = build_lexicon(docs, tokenizer, text_col)
-    name = f"lexicon-{hashlib.sha256(lexicon).hexdigest()[:20]}.bin"
+    name = f"lexicon-{uuid.uuid4().hex}.bin"
     path = os.path.join(tempfile.mkdtemp(prefix="rasterel-"), name)
     with open(path, "wb") as f:
         f.write(lexicon)
@@ -299,11 +380,13 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _loaded:
-            _loaded[name] = Transducer.open(SparkFiles.get(name))
-        encoder = Encoder(_model(shared.value, digest), _loaded[name])
+            for old in [k for k in _loaded if k.startswith("lexicon-")]:
+                del _loaded[old]
+            _loaded[name] = Encoder(_model(shared.value, digest), Transducer.open(SparkFiles.get(name)))
+        encoder = _loaded[name]
 
         def out(rows: pa.RecordBatch, words: list[list[str]]) -> pa.RecordBatch:
-            encoder.learn([w for x in words for w in x])
+            encoder.learn(set().union(*words))
             found = [encoder.encode(x) for x in words]
             columns = [
                 pa.array([ids.count(" ") + 1 if ids else 0 for ids, _ in found], pa.int64()),
@@ -318,7 +401,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         for batch in batches:
             first, words, held = 0, [], 0
             for i, text in enumerate(batch.column(batch.num_columns - 1)):
-                own = encoder.model.words(text.as_py())
+                own = encoder.model.chunks(text.as_py())
                 if words and held + len(own) > CHUNK_WORDS:
                     yield out(batch.slice(first, i - first), words)
                     first, words, held = i, [], 0
