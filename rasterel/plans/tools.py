@@ -82,13 +82,13 @@ def validate_pairs(sprites: DataFrame, profile: Profile) -> DataFrame:
     than its sprite is an error.
     """
     color = hex_color(profile.outline.color)
-    schema = "path string, sha256 string, mask_source string, dimension_valid boolean, alpha_binary boolean, body_pixels long, outline_pixels long, body_components long, palette_colors long, palette_limit long, outline_extra_pixels long, outline_missing_pixels long, outline_color_mismatch_pixels long, body_pixels_in_reserved_border long, error string"
+    schema = "path string, sha256 string, width int, height int, mask_source string, dimension_valid boolean, alpha_binary boolean, body_pixels long, outline_pixels long, body_components long, palette_colors long, palette_limit long, outline_extra_pixels long, outline_missing_pixels long, outline_color_mismatch_pixels long, body_pixels_in_reserved_border long, error string"
 
     def one(path, sha, w, h, data, error, mask) -> tuple:
         if error is None and mask is not None and len(mask) != len(data):
             error = "the mask's size isn't the sprite's"
         if error is not None:
-            return (path, sha, *[None] * 12, error)
+            return (path, sha, w, h, *[None] * 12, error)
         image = np.frombuffer(data, np.uint8).reshape(h, w, 4)
         solid = image[..., 3] == 255
         if mask is None:
@@ -99,11 +99,11 @@ def validate_pairs(sprites: DataFrame, profile: Profile) -> DataFrame:
         expected = kernels.outline(body, profile.outline.width, profile.outline.connectivity, profile.outline.corner_rule)
         actual = solid & ~body
         wrong = actual & expected & (image != color).any(axis=-1)
-        return (path, sha, "alpha", (w, h) == (profile.target.width, profile.target.height), bool(np.isin(image[..., 3], (0, 255)).all()), int(body.sum()), 0, len(kernels.components(body)),
+        return (path, sha, w, h, "alpha", (w, h) == (profile.target.width, profile.target.height), bool(np.isin(image[..., 3], (0, 255)).all()), int(body.sum()), 0, len(kernels.components(body)),
                 len(np.unique(kernels.packed(image[body]))), profile.palette.max_colors, int((actual & ~expected).sum()), int((expected & ~actual).sum()), int(wrong.sum()), 0, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), *[pa.int64()] * 9, pa.string())
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.bool_(), *[pa.int64()] * 9, pa.string())
         for batch in batches:
             rows = [one(*r) for r in zip(*(c.to_pylist() for c in batch.columns))]
             if rows:
@@ -115,16 +115,27 @@ def validate_pairs(sprites: DataFrame, profile: Profile) -> DataFrame:
     return gated.withColumn("status", F.when(F.col("error").isNotNull(), "fail").otherwise(F.col("status")))
 
 
-def validate_file(spark: SparkSession, path: str, profile: str = "character-48", mask_path: str | None = None) -> DataFrame:
+def validate_reports(found: DataFrame, profile: Profile) -> DataFrame:
+    """(path, status, error, line): findings as lines of report, without files."""
+    none = F.lit(None).cast("string")
+    report = F.struct(
+        F.lit(records.SCHEMA_VERSION).alias("schema_version"), F.lit(records.TOOL_VERSION).alias("tool_version"), "status", F.col("path").alias("input"), F.lit(profile.name).alias("profile"),
+        F.lit(profile.sha256).alias("profile_sha256"), F.col("sha256").alias("input_sha256"), F.struct("width", "height").alias("canvas"),
+        "mask_source", F.lit(False).alias("cached"), F.struct(*conversion.METRICS).alias("qa"), "reasons", F.array().cast("array<string>").alias("warnings"), F.struct(none.alias("final_png")).alias("artifacts"),
+    )
+    return found.select("path", "status", "error", F.to_json(report).alias("line"))
+
+
+def validate_file(spark: SparkSession, path: str, profile: str = "character-48", mask_path: str | None = None, max_pixels: int = images.MAX_PIXELS) -> DataFrame:
     """Findings on the sprites under a path, with one mask file if named."""
-    tiles = images.scan(spark, path)
+    tiles = images.scan(spark, path, max_pixels)
     if mask_path:
-        mask = images.scan(spark, mask_path).select(F.col("data").alias("mask")).limit(1)
+        mask = images.scan(spark, mask_path, max_pixels).select(F.col("data").alias("mask")).limit(1)
         tiles = tiles.crossJoin(F.broadcast(mask))  # one row
     return validate_pairs(tiles, resolve(profile))
 
 
-def run_batch(spark: SparkSession, manifest: str, out_dir: str, profile: str = "character-48", resume: bool = False, check_profile: bool = False) -> tuple[DataFrame, str]:
+def run_batch(spark: SparkSession, manifest: str, out_dir: str, profile: str = "character-48", resume: bool = False, check_profile: bool = False, max_pixels: int = images.MAX_PIXELS) -> tuple[DataFrame, str]:
     """Runs the tasks of a list; returns (line_no, id, status, line) in the list's order, and the worst status.
 
     A task that fails is a line with its error. Tasks are grouped by profile and overrides, of which
@@ -157,7 +168,7 @@ def run_batch(spark: SparkSession, manifest: str, out_dir: str, profile: str = "
         except (ProfileError, ValueError) as e:
             results.append(own.withColumn("error", F.lit(str(e))).select("line_no", "id", F.lit("fail").alias("status"), failed.alias("line")))
             continue
-        tiles = read_named(spark, own.select("line_no", "id", "input", "output"))
+        tiles = read_named(own.select("line_no", "id", "input", "output"), max_pixels)
         done = conversion.convert(tiles, settings, F.col("output"), task_id=F.col("id")).persist()
         write_files(conversion.files_of(done, F.col("output"))).count()
         results.append(done.select("line_no", "id", "status", conversion.result_line(F.col("id")).alias("line")))
@@ -169,7 +180,7 @@ def run_batch(spark: SparkSession, manifest: str, out_dir: str, profile: str = "
     return records.in_order(lines), status.status if status and status.status else "pass"
 
 
-def read_named(spark: SparkSession, tasks: DataFrame) -> DataFrame:
+def read_named(tasks: DataFrame, max_pixels: int = images.MAX_PIXELS) -> DataFrame:
     """Tiles of the files that tasks (line_no, id, input, output) name; each task reads its own file."""
     schema = "line_no int, id string, output string, " + images.TILES
 
@@ -182,8 +193,8 @@ def read_named(spark: SparkSession, tasks: DataFrame) -> DataFrame:
                     with fs.open_input_file(name) as f:
                         content = f.read()
                     sha = hashlib.sha256(content).hexdigest()
-                    if content[:8].hex().upper() == images.PNG and int.from_bytes(content[16:20]) * int.from_bytes(content[20:24]) > images.MAX_PIXELS:
-                        error = "more pixels than the limit"
+                    if content[:8].hex().upper() == images.PNG and int.from_bytes(content[16:20]) * int.from_bytes(content[20:24]) > max_pixels:
+                        error = f"more pixels than the limit of {max_pixels}"
                     else:
                         image = images.read_png(content)
                 except Exception as e:
