@@ -31,7 +31,7 @@ from .common import doc_order, hash128, written
 #: Words in a window; rounds of recompression; words that a symbol must stand for to be counted.
 WINDOW, LEVEL, SYMBOL_WORDS = 50, 5, 4
 #: Words parsed at a time (one document at least).
-CHUNK_WORDS = 400_000
+CHUNK_WORDS = 200_000
 #: Words whose hashes a task keeps.
 CACHE_WORDS = 300_000
 
@@ -167,14 +167,15 @@ def _symbols(batches: Iterator[pa.RecordBatch], window: int, rounds: int) -> Ite
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int, rounds: int) -> Iterator[pa.RecordBatch]:
-    """Windows that may be repeats. Columns in: id order, row, text, shared symbols, ids that are copies of smaller ones."""
+    """Windows that may be repeats. Columns in: id order, both text hashes, text, shared symbols, (second hash, smallest id) of texts with copies."""
     cache = _Words()
     for batch in batches:
-        ids, rows = (batch.column(k).to_numpy() for k in (0, 1))
-        for first, sizes, names, more in _chunks(batch.column(2), cache):
+        ids, rows, seconds = (batch.column(k).to_numpy() for k in (0, 1, 2))
+        for first, sizes, names, more in _chunks(batch.column(3), cache):
             part = slice(first, first + len(sizes))
-            shared = batch.column(3).slice(first, len(sizes)).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            copy = np.array([int(d) in (c.as_py() or ()) for d, c in zip(ids[part], batch.column(4).slice(first, len(sizes)))])
+            shared = batch.column(4).slice(first, len(sizes)).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            firsts = batch.column(5).slice(first, len(sizes)).to_pylist()
+            copy = np.array([any(f["t2"] == t and d > f["first"] for f in own or ()) for d, t, own in zip(ids[part].tolist(), seconds[part].tolist(), firsts)])
             sym, _, frm, to = _interior(names, sizes, window, rounds)
             alone = ~np.isin(sym, shared)
             ends = np.zeros(len(names) + 2, np.int64)
@@ -233,19 +234,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     t1, t2 = hash128(text)
     order = doc_order(F.col(id_col))
-    row = F.xxhash64(order, t1)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), order.alias("d"), row.alias("row"), text.alias("text"))
-    keys = docs.select(order.alias("d"), row.alias("row"), t1.alias("t1"), t2.alias("t2"))
-    firsts = keys.groupBy("t1", "t2").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").drop("last")
-    copies = written(keys.join(firsts, ["t1", "t2"]).where("d > first").select("d", "row").distinct())
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), order.alias("d"), t1.alias("row"), t2.alias("t2"), text.alias("text"))
+    keys = docs.select(order.alias("d"), t1.alias("row"), t2.alias("t2"))
+    firsts = keys.groupBy("row", "t2").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").drop("last")
+    firsts = written(firsts)
+    copies = keys.join(firsts, ["row", "t2"]).where("d > first").select("d", "row").distinct()
 
+    # Symbols are counted by texts: what only copies of one text share ends windows as well.
     seen = written(rows.select("row", "text").mapInArrow(lambda b: _symbols(b, window, rounds), "sym long, row long"))
     shared = written(seen.groupBy("sym").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("sym"))
-    none = F.lit(None).cast("long")
-    notes = seen.join(shared, "sym").select("row", "sym", none.alias("copy")).union(copies.select("row", none, "d"))
-    flags = written(notes.groupBy("row").agg(F.collect_set("sym").alias("syms"), F.collect_set("copy").alias("copies")))
+    first = F.struct("t2", "first")
+    notes = seen.join(shared, "sym").select("row", "sym", F.lit(None).cast("struct<t2: bigint, first: bigint>").alias("first")).union(firsts.select("row", F.lit(None).cast("long"), first))
+    flags = written(notes.groupBy("row").agg(F.collect_set("sym").alias("syms"), F.collect_set("first").alias("firsts")))
 
-    found = rows.select("d", "row", "text").join(flags, "row", "left").select("d", "row", "text", "syms", "copies")
+    found = rows.select("d", "row", "t2", "text").join(flags, "row", "left").select("d", "row", "t2", "text", "syms", "firsts")
     windows = written(found.mapInArrow(lambda b: _windows(b, window, rounds), "h1 long, h2 long, d long, row long, start int"))
     earliest = windows.groupBy("h1", "h2").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").drop("last")
     repeated = windows.join(earliest, ["h1", "h2"]).where("d > first").groupBy("d", "row").agg(F.collect_set("start").alias("starts"))
