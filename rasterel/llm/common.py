@@ -49,6 +49,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def doc_order(doc_id: Column) -> Column:
     """The id as an order key: a missing id comes after all others."""
     return F.coalesce(doc_id.cast("long"), F.lit(NO_ID))

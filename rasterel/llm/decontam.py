@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import doc_order, fresh
+
 #: Template tokens in a window; share of an item's windows that makes a leak; plain words a window needs.
 WINDOW, COVERAGE, PLAIN = 5, 0.8, 3
 #: Most benchmark windows broadcast at a time (about 100 bytes each).
@@ -112,9 +114,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that leak no benchmark item, all columns kept."""
-    bad = leaks(docs, benchmark, id_col, text_col, **options).select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_d"), F.col("text_hash").alias("_t")).distinct()
-    marked = docs.withColumns({"_d": F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), "_t": F.xxhash64(F.col(text_col).cast("string"))})
-    return marked.join(bad, ["_d", "_t"], "left_anti").drop("_d", "_t")
+    d, t = fresh(docs, "_d", "_t")
+    bad = leaks(docs, benchmark, id_col, text_col, **options).select(doc_order(F.col("doc_id")).alias(d), F.col("text_hash").alias(t)).distinct()
+    marked = docs.withColumns({d: doc_order(F.col(id_col)), t: F.xxhash64(F.col(text_col).cast("string"))})
+    return marked.join(bad, [d, t], "left_anti").drop(d, t)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -35,8 +35,10 @@ ASIDE = frozenset("nav header footer aside form menu button dialog head label fi
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments complementary contentinfo consent cookie cookies disqus disclaimer"
     " footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices outbrain pager pagination paywall popup promo promotion reactions recommended related replies"
-    " search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar widget".split()
+    " search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola teaser toc toolbar topbar widget".split()
 )
+#: Beginnings of such parts, for values run together.
+STEMS = ("advert", "breadcrumb", "comment", "cookie", "discussion", "feedback", "footer", "navbar", "newsletter", "popup", "promo", "related", "replies", "sidebar", "sponsor", "subscri")
 #: Elements that hold the content as a whole; names for boilerplate in their own class don't count.
 WHOLE = frozenset("html body main article".split())
 #: Elements that begin and end a block.
@@ -61,7 +63,7 @@ def _boilerplate(tag: str, rest: str) -> bool:
             return True
         if name in ("class", "id", "role"):
             names += _PART.split(value)
-    return tag not in WHOLE and not NAMES.isdisjoint(names)
+    return tag not in WHOLE and (not NAMES.isdisjoint(names) or any(n.startswith(STEMS) for n in names))
 
 
 def items(page: str) -> Iterator[tuple[str, str, bool, bool]]:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, doc_order, hash128
+from .common import ascii_lower, doc_order, fresh, hash128
 
 #: Stripped from both ends of a line: space, and tab to carriage return.
 WHITE = " \t\n\x0b\f\r"
@@ -43,23 +43,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         seen = lines.groupBy("_h1", "_h2", "_d").agg(F.lit(1).alias("_one"))
         common = seen.groupBy("_h1", "_h2").agg(F.min("_d").alias("_first"), F.count("_one").alias("_n")).where(F.col("_n") >= min_docs).drop("_n")
-    drops = (
-        lines.join(common, ["_h1", "_h2"])
-        .where("_d <> _first")
-        .groupBy("_d", "_t")
-        .agg(F.collect_set("_pos").alias("_drop"))
-        .withColumnsRenamed({"_d": "_drop_d", "_t": "_drop_t"})
-    )
-    joined = docs.join(drops, (order == F.col("_drop_d")) & (F.xxhash64(text) == F.col("_drop_t")), "left")
+    drop, drop_d, drop_t = fresh(docs, "_drop", "_drop_d", "_drop_t")
+    dropped = lines.join(common, ["_h1", "_h2"]).where("_d <> _first")
+    drops = dropped.groupBy(F.col("_d").alias(drop_d), F.col("_t").alias(drop_t)).agg(F.collect_set("_pos").alias(drop))
+    joined = docs.join(drops, (order == F.col(drop_d)) & (F.xxhash64(text) == F.col(drop_t)), "left")
     split = F.split(text, "\n", -1)
     n = F.size(split)
-    kept = F.array_except(F.sequence(F.lit(0), n - 1), F.col("_drop"))
+    kept = F.array_except(F.sequence(F.lit(0), n - 1), F.col(drop))
     kept_text = F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n")
     return joined.withColumns({
         "n_lines": n.cast("long"),
-        "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"),
-        text_col: F.when(F.col("_drop").isNull(), F.col(text_col)).when(F.size(kept) == 0, F.lit("")).otherwise(kept_text),
-    }).drop("_drop", "_drop_d", "_drop_t")
+        "n_dropped": F.coalesce(F.size(drop), F.lit(0)).cast("long"),
+        text_col: F.when(F.col(drop).isNull(), F.col(text_col)).when(F.size(kept) == 0, F.lit("")).otherwise(kept_text),
+    }).drop(drop, drop_d, drop_t)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -181,12 +181,12 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, epochs: int = 60,
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int) -> DataFrame:
-    """(text, y) of at most ``rows`` labelled documents, those of the smallest id hashes; never held-out ones."""
+    """(text, y, id) of at most ``rows`` labelled documents, those of the smallest id hashes; never held-out ones."""
     marks = labels.where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col("quality").cast("int").alias("y")).dropDuplicates(["_id"])
     marks = marks.where(~held_out(F.col("_id")))
     picked = marks.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return own.join(F.broadcast(picked), "_id").select("text", "y")  # at most ``rows`` ids
+    return own.join(F.broadcast(picked), "_id").select("text", "y", F.col("_id").alias("id"))  # at most ``rows`` ids
 
 
 def held_out(doc_id: Column) -> Column:
@@ -197,7 +197,8 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Model:
     """The model for (doc_id, text) and labels (doc_id, quality 0 or 1); labels of held-out ids aren't read.
 
-    At most ``rows`` rows are used, the same for the same table. Without any label every score is 0.5.
+    At most ``rows`` rows are used, the same for the same table; sums may differ in their last digits
+    with the order of rows. Without any label every score is 0.5.
     """
     sc = docs.sparkSession.sparkContext
     sample = written(labelled_sample(docs, labels, id_col, text_col, rows))
@@ -249,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     # A few matrices of fixed size, for the sample has a fixed bound.
     sums = sample.select("text").repartition(parts).mapInArrow(around, "sums binary").collect()
-    vectors = sum((np.frombuffer(r.sums, np.float64).reshape(vocabulary.size, LENGTH) for r in sums), np.zeros((vocabulary.size, LENGTH)))
+    vectors = sum((np.frombuffer(r.sums, np.float64).reshape(vocabulary.size, LENGTH) for r in sums), np.zeros((vocabulary.size, LENGTH))).round(5)
     vectors += index * np.linalg.norm(vectors, axis=1, keepdims=True) / np.maximum(np.linalg.norm(index, axis=1, keepdims=True), 1e-9)
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     vectors = np.where(norms > 0, vectors / np.maximum(norms, 1e-9), index / np.maximum(np.linalg.norm(index, axis=1, keepdims=True), 1e-9)).astype(np.float32)
@@ -261,9 +262,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for first, texts in _chunks(batch.column(0)):
                 x = pool(texts, reader, vectors)
-                yield pa.record_batch([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1).slice(first, len(texts))], names=["x", "y"])
+                yield pa.record_batch([pa.array([r.tobytes() for r in x], pa.binary()), *(batch.column(k).slice(first, len(texts)) for k in (1, 2))], names=["x", "y", "id"])
 
-    rows_ = sample.mapInArrow(pooled, "x binary, y int").orderBy("x", "y").collect()  # at most ``rows`` short vectors
+    rows_ = sample.mapInArrow(pooled, "x binary, y int, id long").orderBy("id", "y", "x").collect()  # at most ``rows`` short vectors
     if not rows_:
         zero = np.zeros
         return Model(vocabulary, vectors, (zero(2 * LENGTH), np.ones(2 * LENGTH), zero((2 * LENGTH, 1)), zero(1), zero((1, 1)), zero(1)), 1.0)

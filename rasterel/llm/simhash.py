@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, doc_order, written
+from .common import NO_ID, doc_order, fresh, written
 from .components import connected_components
 
 #: Bits in which linked fingerprints may differ, and words in a shingle.
@@ -234,10 +234,11 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     It is the row with the smallest id and, of rows with one id, the smallest text hash; of rows
     that repeat both, any one.
     """
+    d, t = fresh(docs, "_d", "_t")
     groups = near_duplicate_groups(docs, id_col, text_col, **options)
-    keep = groups.where("kept").select(doc_order(F.col("doc_id")).alias("_d"), F.col("text_hash").alias("_t")).distinct()
-    marked = docs.withColumns({"_d": doc_order(F.col(id_col)), "_t": F.xxhash64(F.col(text_col).cast("string"))})
-    return marked.join(keep, ["_d", "_t"], "left_semi").dropDuplicates(["_d", "_t"]).drop("_d", "_t")
+    keep = groups.where("kept").select(doc_order(F.col("doc_id")).alias(d), F.col("text_hash").alias(t)).distinct()
+    marked = docs.withColumns({d: doc_order(F.col(id_col)), t: F.xxhash64(F.col(text_col).cast("string"))})
+    return marked.join(keep, [d, t], "left_semi").dropDuplicates([d, t]).drop(d, t)
 
 
 def digest(docs: DataFrame) -> DataFrame:
