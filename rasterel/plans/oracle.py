@@ -99,16 +99,19 @@ _SUM_XY = "SELECT image_id, count(*) AS pixels, " + _sum("x", "y")
 
 
 def _flood(points: str, eight: bool) -> str:
-    """CTEs: labels of components by rounds that keep the smallest label a pixel has seen."""
-    step = "abs(n.x - f.x) <= 1 AND abs(n.y - f.y) <= 1" if eight else "abs(n.x - f.x) + abs(n.y - f.y) = 1"
-    return f"""pts AS ({points}), near AS (
-  SELECT f.image_id, f.x, f.y, n.x AS nx, n.y AS ny FROM pts f JOIN pts n ON f.image_id = n.image_id AND {step}),
-flood(image_id, x, y, label) USING KEY (image_id, x, y) AS (
-  SELECT image_id, x, y, y * 4294967296 + x AS label FROM pts
+    """CTEs up to flood (image_id, x, y, label): rounds over runs of pixels that keep the smallest label a run has seen."""
+    k = int(eight)
+    return f"""pts AS ({points}),
+isl AS (SELECT *, x - row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS i FROM pts),
+runs AS (SELECT image_id, y, i, min(x) AS b, max(x) AS e FROM isl GROUP BY image_id, y, i),
+near AS (SELECT f.image_id, f.y, f.b, n.y AS ny, n.b AS nb FROM runs f JOIN runs n ON f.image_id = n.image_id AND n.y IN (f.y - 1, f.y + 1) AND n.b <= f.e + {k} AND n.e >= f.b - {k}),
+spread(image_id, y, b, label) USING KEY (image_id, y, b) AS (
+  SELECT image_id, y, b, y * 4294967296 + b FROM runs
   UNION
-  SELECT c.image_id, c.nx, c.ny, min(f.label) FROM flood f JOIN near c ON c.image_id = f.image_id AND c.x = f.x AND c.y = f.y
-    JOIN recurring.flood o ON o.image_id = c.image_id AND o.x = c.nx AND o.y = c.ny
-  WHERE f.label < o.label GROUP BY c.image_id, c.nx, c.ny)"""
+  SELECT c.image_id, c.ny, c.nb, min(f.label) FROM spread f JOIN near c ON c.image_id = f.image_id AND c.y = f.y AND c.b = f.b
+    JOIN recurring.spread o ON o.image_id = c.image_id AND o.y = c.ny AND o.b = c.nb
+  WHERE f.label < o.label GROUP BY c.image_id, c.ny, c.nb),
+flood AS (SELECT p.image_id, p.x, p.y, s.label FROM isl p JOIN runs u USING (image_id, y, i) JOIN spread s ON s.image_id = u.image_id AND s.y = u.y AND s.b = u.b)"""
 
 
 FG_POINTS = "SELECT image_id, x, y FROM sprites WHERE a >= 96"
