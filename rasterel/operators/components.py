@@ -82,9 +82,8 @@ def without_small(points: DataFrame, least: int, method: str = "kernel") -> Data
     """(image_id, x, y) of pixels in 8-connected components of a size or more."""
     if least <= 1:
         return points.select("image_id", "x", "y")
-    labels = labelled(points, 8, method)
-    large = labels.groupBy("image_id", "label").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
-    return labels.join(large, ["image_id", "label"], "left_semi").select("image_id", "x", "y")
+    size = F.count("*").over(Window.partitionBy("image_id", "label"))
+    return labelled(points, 8, method).withColumn("_n", size).where(F.col("_n") >= least).select("image_id", "x", "y")
 
 
 def skin(pixels: DataFrame) -> DataFrame:

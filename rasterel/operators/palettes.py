@@ -15,6 +15,9 @@ from rasterel.functions.color import posterized as stepped
 from . import kernels
 from .pixels import KEY, OFFSETS, SIDES, neighbour, with_neighbours
 
+#: Colours of the largest palette that all images may share.
+MOST_COLORS = 256
+
 
 def code(*channels: str) -> Column:
     return packed(*(F.col(c) for c in (channels or ("r", "g", "b"))))
@@ -76,18 +79,27 @@ def palettes(histograms: DataFrame, budget: int, keys: list[str] = KEY) -> DataF
 def nearest_remap(pixels: DataFrame, palette: DataFrame, mask: str | None = None, keys: list[str] = KEY) -> DataFrame:
     """pixels with masked ones in their nearest palette colour, opaque; the lowest index of equals.
 
-    palette: (keys, idx, r, g, b), or without keys for one palette of all. Distances are taken once
-    a distinct colour; the palette meets them as one array, so that no pair is ever a row.
+    palette: (keys, idx, r, g, b), or without keys for one palette of all, of ``MOST_COLORS`` at
+    most. A palette meets the pixels as one array, by its keys alone: no pair is ever a row, and
+    pixels that are partitioned by a key stay where they are. One palette of all is part of the plan.
     """
     own = [k for k in keys if k in palette.columns]
-    entry = F.struct("idx", "r", "g", "b", F.col("ok_l").alias("l"), F.col("ok_a").alias("la"), F.col("ok_b").alias("lb"))
-    listed = with_oklab(palette).groupBy(*own).agg(F.array_sort(F.collect_list(entry)).alias("_p"))
-    colors = with_oklab(pixels.where(mask) if mask else pixels).select(*own, code().alias("_c"), "ok_l", "ok_a", "ok_b").distinct()
-    paired = colors.join(listed, own) if own else colors.crossJoin(F.broadcast(listed))  # one row
-    far = lambda p: distance_sq(Lab.of("ok_"), Lab(p.l, p.la, p.lb))
-    best = F.array_min(F.transform("_p", lambda p: F.struct(far(p).alias("d"), p.idx.alias("idx"), p.r.alias("r"), p.g.alias("g"), p.b.alias("b"))))
-    table = paired.select(*own, "_c", best.alias("_best"))
-    joined = pixels.withColumn("_c", code()).join(table, [*own, "_c"], "left")
+    lab = Lab.of("ok_")
+    if own:
+        entry = F.struct("idx", "r", "g", "b", F.col("ok_l").alias("l"), F.col("ok_a").alias("la"), F.col("ok_b").alias("lb"))
+        listed = with_oklab(palette).groupBy(*own).agg(F.array_sort(F.collect_list(entry)).alias("_p"))
+        meet = with_oklab(pixels).join(listed, own, "left")
+        best = F.array_min(F.transform("_p", lambda p: F.struct(distance_sq(lab, Lab(p.l, p.la, p.lb)).alias("d"), *(p[c].alias(c) for c in ("idx", "r", "g", "b")))))
+    else:
+        rows = palette.orderBy("idx").limit(MOST_COLORS + 1).collect()
+        if len(rows) > MOST_COLORS:
+            raise ValueError(f"a palette of all images has {MOST_COLORS} colours at most")
+        meet, best = with_oklab(pixels), F.lit(None).cast("struct<r: int, g: int, b: int>")
+        if rows:
+            labs = kernels.oklab(np.array([[r.r, r.g, r.b] for r in rows], np.uint8)).tolist()
+            far = [F.struct(distance_sq(lab, Lab(*map(F.lit, v))).alias("d"), *(F.lit(r[c]).alias(c) for c in ("idx", "r", "g", "b"))) for r, v in zip(rows, labs)]
+            best = F.array_min(F.array(*far))
+    joined = meet.withColumn("_best", best)
     hit = F.col("_best").isNotNull() & (F.col(mask) if mask else F.lit(True))
     new = {c: F.when(hit, F.col("_best")[c]).otherwise(F.col(c)) for c in "rgb"} | {"a": F.when(hit, 255).otherwise(F.col("a"))}
     return joined.select(*(new[c].alias(c) if c in new else F.col(c) for c in pixels.columns))

@@ -33,26 +33,31 @@ def sizes(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy(KEY).agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
 
 
+def _corners() -> list[Column]:
+    """Aggregates bg_r, bg_g, bg_b: per channel the upper median of an image's four corners.
+
+    A corner is the pixel that is first or last by rows, and in its row: no size has to be known.
+    """
+    rgb, x, y = F.struct("r", "g", "b"), F.col("x"), F.col("y")
+    four = [F.min_by(rgb, F.struct(sy * y, sx * x)) for sy in (1, -1) for sx in (1, -1)]
+    return [F.get(F.array_sort(F.array(*(c[n] for c in four))), F.lit(2)).alias(f"bg_{n}") for n in "rgb"]
+
+
 def corner_colors(pixels: DataFrame) -> DataFrame:
-    """(image_id, bg_r, bg_g, bg_b): per channel the upper median of an image's four corners."""
-    at = pixels.join(sizes(pixels), KEY)
-    # A corner counts once for each of the four that it is: small images have fewer pixels.
-    times = (F.when(F.col("x") == 0, 1).otherwise(0) + F.when(F.col("x") == F.col("width") - 1, 1).otherwise(0)) * (F.when(F.col("y") == 0, 1).otherwise(0) + F.when(F.col("y") == F.col("height") - 1, 1).otherwise(0))
-    corners = at.where(times > 0).withColumn("_n", F.explode(F.array_repeat(F.lit(1), times)))
-    median = lambda c: F.get(F.array_sort(F.collect_list(c)), F.lit(2)).alias(f"bg_{c}")
-    return corners.groupBy(KEY).agg(*(median(c) for c in "rgb"))
+    """(image_id, bg_r, bg_g, bg_b) of dense images."""
+    return pixels.groupBy(KEY).agg(*_corners())
 
 
 def foreground(pixels: DataFrame, threshold: int = 96, tolerance: int = 24) -> DataFrame:
     """pixels plus ``fg`` and ``mask_source``.
 
     Alpha decides in images of which more than a hundredth isn't opaque; elsewhere the distance
-    from the corners' colour does.
+    from the corners' colour does. One aggregate and one join.
     """
-    share = transparent_share(pixels)
-    marked = pixels.join(share.join(corner_colors(pixels), KEY), KEY)
+    summary = pixels.groupBy(KEY).agg(F.avg((F.col("a") < 255).cast("double")).alias("_share"), *_corners())
     apart = sum((F.abs(F.col(c) - F.col(f"bg_{c}")) for c in "rgb"), F.lit(0)) > 3 * tolerance
-    use_alpha = F.col("alpha_coverage") > 0.01
+    use_alpha = F.col("_share") > 0.01
+    marked = pixels.join(summary, KEY)
     return marked.select(*pixels.columns, F.when(use_alpha, by_alpha(threshold)).otherwise(apart).alias("fg"), F.when(use_alpha, "alpha").otherwise("corner-background").alias("mask_source"))
 
 
