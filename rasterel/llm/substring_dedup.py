@@ -261,3 +261,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def digest(docs: DataFrame) -> DataFrame:
     """One row per document: word counts and the SHA-256 of the kept words."""
     return remove_repeats(docs.select("doc_id", "text"), with_text=False)
+
+
+#: DuckDB form of ``digest``.
+SQL = rf"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda s: s <> '') AS ws FROM documents
+), k AS (
+  SELECT doc_id, s, array_to_string(ws[s:s + {WINDOW - 1}], ' ') AS body
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS s FROM w WHERE len(ws) >= {WINDOW}) x
+), f AS (SELECT body, min(doc_id) AS first_doc FROM k GROUP BY body),
+c AS (
+  SELECT DISTINCT doc_id, s + o AS pos FROM (SELECT doc_id, s FROM k JOIN f USING (body) WHERE first_doc < doc_id) r, (SELECT unnest(range(0, {WINDOW})) AS o) t
+), p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+g AS (
+  SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.pos) FILTER (WHERE c.pos IS NULL) AS kept, count(c.pos) AS n_removed
+  FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.pos = c.pos GROUP BY p.doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(g.n_removed, 0) AS n_removed, sha256(coalesce(g.kept, '')) AS kept_sha256
+FROM w LEFT JOIN g USING (doc_id)
+"""
