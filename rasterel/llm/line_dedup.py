@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, doc_order, fresh, hash128
+from .common import ascii_lower, doc_order, fresh, hash128, written
 
 #: Stripped from both ends of a line: space, and tab to carriage return.
 WHITE = " \t\n\x0b\f\r"
@@ -37,7 +37,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = docs.select(order.alias("_d"), F.xxhash64(text).alias("_t"), F.posexplode(F.split(text, "\n", -1)).alias("_pos", "_line"))
     keyed = own.withColumn("_key", line_key(F.col("_line"))).where(F.char_length("_key") >= min_chars)
     h1, h2 = hash128(F.col("_key"))
-    lines = keyed.select("_d", "_t", "_pos", h1.alias("_h1"), h2.alias("_h2"))
+    # Written once: counting and looking up would both split and normalise every text.
+    lines = written(keyed.select("_d", "_t", "_pos", h1.alias("_h1"), h2.alias("_h2")))
     if min_docs == 2:  # two distinct documents exactly if the smallest and the largest differ
         common = lines.groupBy("_h1", "_h2").agg(F.min("_d").alias("_first"), F.max("_d").alias("_last")).where("_first <> _last").drop("_last")
     else:
