@@ -33,11 +33,11 @@ def color_set(pixels: DataFrame, keys: list[str] = KEY) -> DataFrame:
     return pixels.where("a > 0").select(*keys, "r", "g", "b").distinct()
 
 
-def dominant_color(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, r, g, b, a, n): the most frequent colour, the smallest of equals."""
+def dominant_color(pixels: DataFrame, keys: list[str], total: str | None = None) -> DataFrame:
+    """(keys, r, g, b, a, n[, total]): the most frequent colour, the smallest of equals; total counts all pixels."""
     counts = pixels.groupBy(*keys, *"rgba").agg(F.count("*").alias("n"))
-    best = counts.groupBy(*keys).agg(F.max_by(F.struct(*"rgba"), F.struct("n", *(-F.col(c) for c in "rgba"))).alias("_c"), F.max("n").alias("n"))
-    return best.select(*keys, "_c.*", "n")
+    best = counts.groupBy(*keys).agg(F.max_by(F.struct(*"rgba"), F.struct("n", *(-F.col(c) for c in "rgba"))).alias("_c"), F.max("n").alias("n"), *([F.sum("n").alias(total)] if total else []))
+    return best.select(*keys, "_c.*", "n", *([total] if total else []))
 
 
 def histogram(pixels: DataFrame, saliency: float = 1.0, keys: list[str] = KEY) -> DataFrame:
@@ -176,10 +176,11 @@ def merge_orphans(dense: DataFrame, mask: str = "body", lock: str | None = None)
     """Masked pixels with masked neighbours, none of them equal, take the most frequent colour around."""
     near = _colored(dense, mask)
     around = F.array_compact(F.array(*(F.col(neighbour(*d, "_n")) for d in OFFSETS)))
-    vote = near.withColumn("_around", around).withColumn("_vote", _frequent(F.col("_around")))
     lone = F.col(mask) & (F.size("_around") > 0) & ~F.array_contains("_around", F.col("_own"))
     if lock:
         lone &= ~F.col(lock)
+    # Votes are counted where they matter: lone pixels are few.
+    vote = near.withColumn("_around", around).withColumn("_vote", F.when(lone, _frequent(F.col("_around"))))
     return vote.select(*_recolored(dense, F.coalesce(lone, F.lit(False)), -F.col("_vote.neg")))
 
 
@@ -192,8 +193,9 @@ def smooth_jaggies(dense: DataFrame, mask: str = "body", lock: str | None = None
     for dy, dx in SIDES:
         flat = flat | (same((dy, dx)) & same((dy + dx, dx + dy)) & same((dy - dx, dx - dy)))
     others = F.array_compact(F.array(*(F.when(~same(d), F.col(neighbour(*d, "_n"))) for d in SIDES)))
-    vote = near.withColumn("_vote", _frequent(others))
-    out = F.col(mask) & one & flat & (F.col("_vote.n") >= 3)
+    bump = F.col(mask) & one & flat
+    vote = near.withColumn("_others", others).withColumn("_vote", F.when(bump, _frequent(F.col("_others"))))
+    out = bump & (F.col("_vote.n") >= 3)
     if lock:
         out &= ~F.col(lock)
     return vote.select(*_recolored(dense, F.coalesce(out, F.lit(False)), -F.col("_vote.neg")))

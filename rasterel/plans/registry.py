@@ -344,7 +344,7 @@ def mode_sample_summary(spark, sf_dir):
     """Body size and main colour of each sampled image."""
     celled, _ = _celled(spark, sf_dir, 16)
     solid = px.sample_mode(celled).where("coverage >= 0.5")
-    return longs(pal.dominant_color(solid, ["image_id"]).join(solid.groupBy("image_id").agg(F.count("*").alias("body_pixels")), "image_id"))
+    return longs(pal.dominant_color(solid, ["image_id"], "body_pixels"))
 
 
 @query
