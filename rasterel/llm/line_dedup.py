@@ -44,6 +44,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         seen = lines.groupBy("_h1", "_h2", "_d").agg(F.lit(1).alias("_one"))
         common = seen.groupBy("_h1", "_h2").agg(F.min("_d").alias("_first"), F.count("_one").alias("_n")).where(F.col("_n") >= min_docs).drop("_n")
+    common = written(common)  # with both sides plain tables, Spark splits a hot line's rows in the join
     drop, drop_d, drop_t = fresh(docs, "_drop", "_drop_d", "_drop_t")
     dropped = lines.join(common, ["_h1", "_h2"]).where("_d <> _first")
     drops = dropped.groupBy(F.col("_d").alias(drop_d), F.col("_t").alias(drop_t)).agg(F.collect_set("_pos").alias(drop))
