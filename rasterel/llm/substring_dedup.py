@@ -250,6 +250,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = rows.select("d", "row", "t2", "text").join(flags, "row", "left").select("d", "row", "t2", "text", "syms", "firsts")
     windows = written(found.mapInArrow(lambda b: _windows(b, window, rounds), "h1 long, h2 long, d long, row long, start int"))
     earliest = windows.groupBy("h1", "h2").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").drop("last")
+    earliest = written(earliest)  # with both sides plain tables, Spark splits a hot window's rows in the join
     repeated = windows.join(earliest, ["h1", "h2"]).where("d > first").groupBy("d", "row").agg(F.collect_set("start").alias("starts"))
     removed = written(repeated.union(copies.select("d", "row", F.array(F.lit(-1)))))
 
