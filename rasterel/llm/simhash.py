@@ -33,13 +33,13 @@ _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
 _BITS = np.arange(64, dtype=np.uint64)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The SimHash of a whole text, unsigned; 0 if it has no word."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The hash of each word shingle of a text, in order."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()  # splits at space and \t to \r
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     line = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
@@ -47,7 +47,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     n = max(1, len(words) - shingle + 1)
     ends = ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(line[a:b], 42) for a, b in zip(begins[:n], ends)), np.uint64, n)
+    return np.fromiter((digest(line[a:b], 42) for a, b in zip(begins[:n], ends)), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The SimHash of a whole text, unsigned; 0 if it has no word."""
+    h = shingle_hashes(text, shingle)
+    n = len(h)
+    if not n:
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):  # bounded memory for very long texts
         part = h[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
