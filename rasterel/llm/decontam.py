@@ -65,34 +65,56 @@ def _windowed(df: DataFrame, keep: list[str], text_col: str, window: int) -> Dat
     return placed.withColumn("_h", F.xxhash64(F.slice("_tpl", F.col("_at") + 1, window)))
 
 
+def _verbatim_too(windowed: DataFrame, window: int) -> DataFrame:
+    """A second row, hashed by its raw tokens, for each window that has placeholders."""
+    raw, tpl = (F.slice(c, F.col("_at") + 1, window) for c in ("_raw", "_tpl"))
+    forms = F.when(raw == tpl, F.array("_h")).otherwise(F.array("_h", F.xxhash64(raw)))
+    return windowed.withColumn("_h", F.explode(forms))
+
+
 def _slots(window: int) -> Column:
     """The raw tokens in the placeholders of a window, with their kind; null for plain tokens."""
     cell = lambda k: F.when(F.get("_tpl", F.col("_at") + k).startswith("<"), F.concat(F.get("_tpl", F.col("_at") + k), F.get("_raw", F.col("_at") + k)))
     return F.array(*(cell(k) for k in range(window)))
 
 
-def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(_h, _item, _j, _n, _theirs): windows with ``PLAIN`` plain words, and their number in the item."""
+def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, any_case: bool = False) -> DataFrame:
+    """(_h, _item, _j, _n, _theirs): windows with ``PLAIN`` plain words, and their number in the item.
+
+    With ``any_case`` windows with placeholders come a second time, by their raw tokens and without slots.
+    """
     rows = _windowed(benchmark.select(F.col("item_id").alias("_item"), F.col("text").alias("_text")).distinct(), ["_item"], "_text", window)
     plain = F.size(F.filter(F.slice("_tpl", F.col("_at") + 1, window), lambda t: ~t.startswith("<")))
-    rows = rows.where(plain >= PLAIN).select("_h", "_item", F.col("_at").alias("_j"), _slots(window).alias("_theirs"))
+    rows = rows.where(plain >= PLAIN)
+    if any_case:
+        of_template = F.col("_h") == F.xxhash64(F.slice("_tpl", F.col("_at") + 1, window))
+        rows = _verbatim_too(rows, window).withColumn("_theirs", F.when(of_template, _slots(window)).otherwise(F.transform(_slots(window), lambda _: F.lit(None).cast("string"))))
+    else:
+        rows = rows.withColumn("_theirs", _slots(window))
+    rows = rows.select("_h", "_item", F.col("_at").alias("_j"), "_theirs")
     count = rows.groupBy(F.col("_item").alias("_of")).agg(F.count_distinct("_j").cast("int").alias("_n"))
     return rows.join(count, F.col("_item").eqNullSafe(F.col("_of"))).select("_h", "_item", "_j", "_n", "_theirs")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, coverage: float = COVERAGE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, coverage: float = COVERAGE, block_windows: int = BLOCK_WINDOWS, any_case: bool = False) -> DataFrame:
     """(doc_id, text_hash, item_id, n_windows, n_matched, n_slots, n_changed) for each leak.
 
     benchmark: (item_id, text). n_slots counts the distinct placeholder values of the item in
     matched windows, n_changed those that the document replaces. Items with no window of
     ``PLAIN`` plain words (too short, only numbers, null) are never found, and null or short documents leak nothing. Rows with equal id and text give their leaks once. Items that
     share an id count as one. An empty table on either side gives no rows.
+
+    Names are told by capitals. With ``any_case`` a window is also found by its lower-cased raw
+    tokens, so that a verbatim copy in other case is no different; such windows count in
+    inconsistent alignments as well.
     """
     spark = docs.sparkSession
-    theirs = benchmark_windows(benchmark, window)
+    theirs = benchmark_windows(benchmark, window, any_case)
     blocks = max(1, -(-theirs.count() // block_windows))
     rows = docs.select(F.col(id_col).cast("long").alias("_d"), F.xxhash64(F.col(text_col).cast("string")).alias("_t"), F.col(text_col).cast("string").alias("_text"))
     own = _windowed(rows, ["_d", "_t"], "_text", window)
+    if any_case:
+        own = _verbatim_too(own, window)
 
     def hits(block: int) -> DataFrame:
         part = theirs if blocks == 1 else theirs.where(F.pmod(F.xxhash64("_h"), F.lit(blocks)) == block)
@@ -101,9 +123,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     found = reduce(DataFrame.union, map(hits, range(blocks)))
     pairs = F.array_distinct(F.filter(F.flatten(F.collect_set("_pairs")), lambda p: p.b.isNotNull()))
-    aligned = found.groupBy("_d", "_t", "_item", "_n", "_shift").agg(F.collect_set("_j").alias("_js"), pairs.alias("_p"))
+    verbatim = [F.collect_set(F.when(~F.exists("_pairs", lambda p: p.b.isNotNull()), F.col("_j"))).alias("_vs")] if any_case else []
+    aligned = found.groupBy("_d", "_t", "_item", "_n", "_shift").agg(F.collect_set("_j").alias("_js"), *verbatim, pairs.alias("_p"))
     sides = [F.size(F.array_distinct(F.col("_p").getField(side))) for side in ("b", "d")]
-    consistent = aligned.where((F.size("_p") == sides[0]) & (F.size("_p") == sides[1]))
+    one_to_one = (F.size("_p") == sides[0]) & (F.size("_p") == sides[1])
+    if any_case:
+        consistent = aligned.withColumns({"_js": F.when(one_to_one, F.col("_js")).otherwise(F.col("_vs")), "_p": F.when(one_to_one, F.col("_p"))}).where(F.size("_js") > 0)
+    else:
+        consistent = aligned.where(one_to_one)
     changed = F.size(F.filter(F.col("_p"), lambda p: p.b != p.d))
     items = consistent.groupBy("_d", "_t", "_item", "_n").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("_js")))).alias("_m"), F.max(F.size("_p")).alias("_slots"), F.min(changed).alias("_changed")

@@ -70,3 +70,26 @@ def test_near_duplicates_beyond_four_bits(spark, sf_dir):
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(copy))], "doc_id long, text string")
     assert [r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, sf_dir).collect()] == [1]
     assert corpus_pipeline.one_of_each(spark, docs.where(F.col("doc_id") == 2), sf_dir).count() == 1
+
+
+ITEM = "If Anna buys 12 apples at 3 dollars each and gives 4 to Bernd then how many apples does Anna keep"
+
+
+def decontaminated(spark, tmp_path, docs, items):
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    return {r.doc_id for r in corpus_pipeline.decontaminate(spark, df, str(tmp_path)).collect()}
+
+
+def test_decontamination_in_any_case(spark, tmp_path):
+    docs = [
+        f"Before it, {ITEM.upper()} and after",
+        f"before it, {ITEM.lower()} and after",
+        ITEM[:50] + ITEM[50:].upper(),
+        ITEM.replace("Anna", "Peter").replace("12", "15"),
+        ITEM.replace("Anna keep", "Hans keep").replace("Anna", "Peter").replace("12", "15").replace("Bernd", "Clara"),
+        "SOME WORDS OF THE ITEM THEN HOW MANY APPLES DOES ANNA KEEP AND OTHERS",
+        None,
+        "",
+    ]
+    assert decontaminated(spark, tmp_path, docs, [(1, ITEM), (2, None), (3, "")]) == {4, 5, 6, 7}
