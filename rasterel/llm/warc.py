@@ -30,8 +30,8 @@ from .common import doc_order, shared_dir, written
 
 #: Payloads below this size are never revisits; a file is closed when it passes its size.
 REVISIT_BYTES, FILE_BYTES = 100, 1 << 30
-#: Bytes of a reader's range, and of one read.
-RANGE_BYTES, READ_BYTES = 16 << 20, 1 << 20
+#: Bytes of a reader's range, and of one read; most reading tasks, each with as many ranges as it takes.
+RANGE_BYTES, READ_BYTES, MOST_TASKS = 4 << 20, 1 << 20, 1 << 16
 
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -86,7 +86,8 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
 
     A null html is an empty payload; a null url or page_id is left out of the record's headers. Of
     rows with equal payloads of ``REVISIT_BYTES`` or more, those with the smallest page_id are
-    responses, the others revisits of it (a missing page_id counts as largest). An empty table
+    responses, the others revisits of it (a missing page_id counts as largest). Repeated rows get a
+    record each. Payloads of any length are written whole; one is held a few times over in its task's memory. An empty table
     gives no files. Other columns aren't read.
     """
 
@@ -218,12 +219,16 @@ def listed(spark: SparkSession, path: str) -> DataFrame:
 def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES, with_payload: bool = True) -> DataFrame:
     """All response and revisit records of the (path, length) table of files, in the columns of ``RECORD``.
 
-    Each range of ``range_bytes`` is a row to be dealt out; a file's size doesn't bound parallelism.
-    Payloads are null for revisits and where ``with_payload`` is false. A damaged payload raises.
+    Each range of ``range_bytes`` is a row, and a task of its own up to ``MOST_TASKS``; a file's size doesn't
+    bound parallelism. The ranges are counted from the files' lengths, and dealt out by that number: as
+    rows they are tiny, so that the adaptive planner would put all of them into one task. A task holds one record
+    at a time, several times over (packed, unpacked, payload), and batches of about 8 MB.
+    Payloads are null for revisits and where ``with_payload`` is false. A damaged payload raises. No files: no rows.
     """
     last = F.greatest(F.col("length") - 1, F.lit(0))
     cut = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(range_bytes).cast("long"))).alias("begin"))
-    ranges = cut.select("path", "begin", F.least(F.col("begin") + range_bytes, F.col("length")).alias("end")).repartition("path", "begin")
+    n_ranges = files.agg(F.sum(F.floor(last / range_bytes) + 1)).first()[0] or 0
+    ranges = cut.select("path", "begin", F.least(F.col("begin") + range_bytes, F.col("length")).alias("end")).repartition(max(1, min(n_ranges, MOST_TASKS)))
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
     names = [x.split()[0] for x in RECORD.split(", ")]
 
