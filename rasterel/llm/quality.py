@@ -8,8 +8,9 @@ probability, calibrated by a temperature fitted on rows that training has left o
 A word gives two tokens, its lower-cased form and its shape (runs of letter case, digits and marks),
 so that words outside the vocabulary count as well; a word that repeats the one before gives a third.
 
-Only a bounded sample of labelled rows fits the model: at most ``SAMPLE_ROWS``. Scores cover all
-rows and whole texts; labels, language, source and id are no inputs of a score.
+Words are counted, and index vectors summed, over all documents. Only the two layers are fitted to a
+bounded sample of labelled rows: at most ``SAMPLE_ROWS``. Scores cover all rows and whole texts; labels,
+language, source and id are no inputs of a score.
 """
 
 from __future__ import annotations
@@ -30,18 +31,14 @@ from .common import written
 SAMPLE_ROWS, VOCABULARY, SHAPES, LENGTH, HIDDEN = 12_000, 6000, 600, 64, 32
 #: Score from which a document counts as good.
 THRESHOLD = 0.3
-#: Rows of a learning task; tokens pooled at a time; words whose tokens a task remembers.
-TASK_ROWS, CHUNK_TOKENS, CACHE_WORDS = 2000, 100_000, 200_000
+#: Tokens pooled at a time; words whose tokens a task remembers; parts in which the tasks' sums of vectors are added up.
+CHUNK_TOKENS, CACHE_WORDS, PARTS = 100_000, 200_000, 32
 
 
 def shape(word: str) -> str:
-    """The runs of upper case, lower case, digits and marks of a word; marks stand for themselves."""
-    out = []
-    for c in word[:40]:
-        kind = "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
-        if not out or out[-1] != kind:
-            out.append(kind)
-    return "".join(out)
+    """The runs of upper case, lower case, digits and marks of the whole word; marks stand for themselves."""
+    kinds = ["X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word]
+    return "".join(k for k, before in zip(kinds, [None, *kinds]) if k != before)
 
 
 def _index_vector(token: str, length: int) -> np.ndarray:
@@ -197,28 +194,37 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Model:
     """The model for (doc_id, text) and labels (doc_id, quality 0 or 1); labels of held-out ids aren't read.
 
-    At most ``rows`` rows are used, the same for the same table; sums may differ in their last digits
-    with the order of rows. Without any label every score is 0.5.
+    Words and their neighbours are those of all documents, whole texts; the layers are fitted to at most
+    ``rows`` labelled rows, the same for the same table. Rows that repeat count as often as they come.
+    Sums may differ in their last digits with the order of rows. Without any label every score is 0.5.
     """
     sc = docs.sparkSession.sparkContext
     sample = written(labelled_sample(docs, labels, id_col, text_col, rows))
-    parts = max(1, -(-rows // TASK_ROWS))
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, shapes = Counter(), Counter()
+        own = Counter()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            words, shapes = Counter(), Counter()
+            for w, n in own.items():
+                words[w.lower()] += n
+                shapes[shape(w)] += n
+            for kind, found in (("w", words), ("s", shapes)):
+                yield pa.record_batch([pa.array([kind] * len(found), pa.string()), pa.array(found, pa.string()), pa.array(found.values(), pa.int64())], names=["kind", "token", "n"])
+
         for batch in batches:
             for t in batch.column(0):
-                own = Counter((t.as_py() or "").split())
-                for w, n in own.items():
-                    words[w.lower()] += n
-                    shapes[shape(w)] += n
-        for kind, found in (("w", words), ("s", shapes)):
-            yield pa.record_batch([pa.array([kind] * len(found), pa.string()), pa.array(found, pa.string()), pa.array(found.values(), pa.int64())], names=["kind", "token", "n"])
+                own.update((t.as_py() or "").split())
+                if len(own) > CACHE_WORDS:
+                    yield from out()
+                    own.clear()
+        yield from out()
 
     def top(kind: str, most: int) -> dict[str, int]:
         return {r.token: r.n for r in counts.where(F.col("kind") == kind).orderBy(F.desc("n"), "token").limit(most).collect()}
 
-    counts = written(sample.select("text").mapInArrow(count, "kind string, token string, n long").groupBy("kind", "token").agg(F.sum("n").alias("n")))
+    counts = written(texts.mapInArrow(count, "kind string, token string, n long").groupBy("kind", "token").agg(F.sum("n").alias("n")))
     words, shapes = top("w", VOCABULARY), top("s", SHAPES)
     vocabulary = Vocabulary({w: i for i, w in enumerate(words)}, {s: len(words) + i for i, s in enumerate(shapes)})
     index = np.stack([_index_vector(t, LENGTH) for t in vocabulary.names()])
@@ -246,11 +252,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]][: len(ids)])
                     if len(first):
                         total[ids[first]] += np.add.reduceat(near[order], first, axis=0)
-        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+        for k in range(PARTS):
+            own = np.flatnonzero(total[k::PARTS].any(axis=1)).astype(np.int32)
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([own.tobytes()], pa.binary()), pa.array([total[k::PARTS][own].astype(np.float32).tobytes()], pa.binary())], names=["part", "rows", "sums"])
 
-    # A few matrices of fixed size, for the sample has a fixed bound.
-    sums = sample.select("text").repartition(parts).mapInArrow(around, "sums binary").collect()
-    vectors = sum((np.frombuffer(r.sums, np.float64).reshape(vocabulary.size, LENGTH) for r in sums), np.zeros((vocabulary.size, LENGTH))).round(5)
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sums of each part, over all tasks."""
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, own, sums in zip(*(c.to_pylist() for c in batch.columns)):
+                total = held.setdefault(part, np.zeros((-(-(size - part) // PARTS), LENGTH)))
+                total[np.frombuffer(own, np.int32)] += np.frombuffer(sums, np.float32).reshape(-1, LENGTH)
+        for part, total in held.items():
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
+
+    size = vocabulary.size
+    vectors = np.zeros((size, LENGTH))
+    # One matrix of fixed size in all, whatever the number of tasks.
+    for r in texts.mapInArrow(around, "part int, rows binary, sums binary").repartition(PARTS, "part").mapInArrow(added, "part int, sums binary").collect():
+        vectors[r.part :: PARTS] = np.frombuffer(r.sums, np.float64).reshape(-1, LENGTH)
+    vectors = vectors.round(3)
     vectors += index * np.linalg.norm(vectors, axis=1, keepdims=True) / np.maximum(np.linalg.norm(index, axis=1, keepdims=True), 1e-9)
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     vectors = np.where(norms > 0, vectors / np.maximum(norms, 1e-9), index / np.maximum(np.linalg.norm(index, axis=1, keepdims=True), 1e-9)).astype(np.float32)
@@ -276,8 +297,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def classify(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` plus score (0 to 1, higher: better) and predicted (1 from ``threshold``, else 0).
 
-    Null and empty texts have the score of a text without words. Other columns pass through;
-    columns named score or predicted are replaced.
+    Null and empty texts have the score of a text without words. Repeated rows get equal scores, and
+    texts of any length are read whole, some at a time. Other columns pass through; columns named score
+    or predicted are replaced. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     passed = [c for c in docs.columns if c not in ("score", "predicted")]
