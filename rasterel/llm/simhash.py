@@ -11,6 +11,7 @@ pairs; components join the forests.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ from .components import connected_components
 RADIUS, SHINGLE = 4, 4
 #: Fingerprints meant for one shard; at most so many are sampled to place the vantage points.
 SHARD_ROWS, SAMPLE_ROWS = 32768, 1 << 16
+#: Sampled fingerprints that a shard of the planted tree takes; shards beyond that are split by drawn vantage points.
+LEAST_SAMPLE = 16
 #: Blocks of this size are compared without further pruning.
 LEAF = 256
 
@@ -117,23 +120,41 @@ def plant(sample: np.ndarray, leaves: int, seed: int = 11) -> list[tuple[int, in
     return nodes
 
 
-def route(points: np.ndarray, nodes: list[tuple[int, int, int, int]], radius: int = RADIUS) -> Iterator[tuple[int, np.ndarray, bool]]:
-    """(shard, points, home) such that a close pair meets in one shard, at least one of the two at home."""
-    todo = [(0 if nodes else -1, points, True)]
+def _drawn(shard: int) -> tuple[np.uint64, int]:
+    """Vantage point and boundary of a node below the planted tree: a hash of its number, and half of the bits."""
+    x = (shard * 0x9E3779B97F4A7C15 + 0xD1342543DE82EF95) % 2**64
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) % 2**64
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) % 2**64
+    return np.uint64(x ^ (x >> 31)), 31 + (x >> 7 & 1)
+
+
+def route(points: np.ndarray, nodes: list[tuple[int, int, int, int]], radius: int = RADIUS, deeper: int = 0) -> Iterator[tuple[int, np.ndarray, bool]]:
+    """(shard, points, home) such that a close pair meets in one shard, at least one of the two at home.
+
+    Each shard of the planted nodes is split ``deeper`` times more, by vantage points that follow from
+    the shard's number: no table of nodes bounds the number of shards.
+    """
+    todo = [(0 if nodes else -1, 0, points, True)]
     while todo:
-        at, own, home = todo.pop()
+        at, level, own, home = todo.pop()
         if not len(own):
             continue
         if at < 0:
-            yield -1 - at, own, home
-            continue
-        v, mu, near_child, far_child = nodes[at]
+            shard = -1 - at
+            if level == deeper:
+                yield shard, own, home
+                continue
+            v, mu = _drawn(shard * 64 + level)
+            near_child, far_child = -1 - 2 * shard, -2 - 2 * shard
+            level += 1
+        else:
+            v, mu, near_child, far_child = nodes[at]
         d = _distance(own, np.uint64(v))
         near = d <= mu
         if home:
-            todo += [(near_child, own[near], True), (far_child, own[~near], True), (far_child, own[near & (d > mu - radius)], False)]
+            todo += [(near_child, level, own[near], True), (far_child, level, own[~near], True), (far_child, level, own[near & (d > mu - radius)], False)]
         else:  # a query goes wherever the triangle bound leaves a match possible
-            todo += [(near_child, own[d <= mu + radius], False), (far_child, own[d > mu - radius], False)]
+            todo += [(near_child, level, own[d <= mu + radius], False), (far_child, level, own[d > mu - radius], False)]
 
 
 class _Forest:
@@ -184,7 +205,7 @@ def close_links(home: np.ndarray, guests: np.ndarray, radius: int = RADIUS, seed
     return points[linked], points[up[linked]]
 
 
-def link_components(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def link_components(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, sample_rows: int = LEAST_SAMPLE) -> DataFrame:
     """(fp, root) of the fingerprints in the column fp that are within ``radius`` of another one."""
     spark = fps.sparkSession
     distinct = written(fps.select("fp").distinct())
@@ -193,14 +214,15 @@ def link_components(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHAR
     share = min(1.0, SAMPLE_ROWS / max(1, n))
     # Which vantage points are drawn alters speed alone: any tree finds every pair.
     picked = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * SAMPLE_ROWS).toPandas().fp.sort_values().to_numpy()
-    nodes = plant(picked.astype(np.int64).view(np.uint64), min(leaves, max(1, len(picked) // 16)))
-    tree = spark.sparkContext.broadcast(nodes)  # at most SAMPLE_ROWS / 8 nodes
+    nodes = plant(picked.astype(np.int64).view(np.uint64), min(leaves, max(1, len(picked) // sample_rows)))
+    deeper = max(0, math.ceil(math.log2(leaves / (len(nodes) + 1))))
+    tree = spark.sparkContext.broadcast(nodes)  # at most 2 * SAMPLE_ROWS / LEAST_SAMPLE nodes
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for shard, own, home in route(points, tree.value, radius):
-                yield pa.record_batch([pa.array(np.full(len(own), shard, np.int32)), pa.array(own.view(np.int64)), pa.array(np.full(len(own), home))], names=["shard", "fp", "home"])
+            for shard, own, home in route(points, tree.value, radius, deeper):
+                yield pa.record_batch([pa.array(np.full(len(own), shard, np.int64)), pa.array(own.view(np.int64)), pa.array(np.full(len(own), home))], names=["shard", "fp", "home"])
 
     def link(rows: pa.Table) -> pa.Table:
         own = rows.column("fp").to_numpy().view(np.uint64)
@@ -210,7 +232,7 @@ def link_components(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHAR
         a, b = close_links(own[home], own[~home], radius)
         return pa.table([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    sent = distinct.mapInArrow(send, "shard int, fp long, home boolean")
+    sent = distinct.mapInArrow(send, "shard long, fp long, home boolean")
     edges = sent.groupBy("shard").applyInArrow(link, "a long, b long")
     return connected_components(edges).select(F.col("node").alias("fp"), "root")
 
@@ -228,11 +250,12 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     fps = written(fingerprints(docs, id_col, text_col, shingle))
     linked = link_components(fps, radius, shard_rows)
-    first = fps.groupBy("fp").agg(F.min(F.struct(doc_order(F.col("doc_id")).alias("id"), "text_hash")).alias("_first"))
-    grouped = first.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = grouped.groupBy("root").agg(F.min("_first").alias("_low"))
-    ids = grouped.join(lowest, "root").select(F.col("fp").alias("_fp"), "_low")
     own = F.struct(doc_order(F.col("doc_id")).alias("id"), "text_hash")
+    first = fps.groupBy("fp").agg(F.min(own).alias("_first"))
+    # Only linked fingerprints meet their component; with plain tables on both sides Spark splits a large one.
+    members = written(first.join(linked, "fp", "left").select("fp", "_first", "root"))
+    lowest = written(members.where("root IS NOT NULL").groupBy("root").agg(F.min("_first").alias("_low")))
+    ids = members.join(lowest, "root", "left").select(F.col("fp").alias("_fp"), F.coalesce("_low", "_first").alias("_low"))
     return fps.join(ids, fps.fp == ids._fp).select("doc_id", "text_hash", "fp", F.nullif(F.col("_low.id"), F.lit(NO_ID)).alias("component_id"), (own == F.col("_low")).alias("kept"))
 
 

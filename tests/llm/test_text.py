@@ -189,13 +189,13 @@ def test_one_of_each_group(odd, empty):
     assert simhash.digest(empty).count() == simhash.one_of_each_group(empty).count() == 0
 
 
-@pytest.mark.parametrize("rows", [40, 100000])
-def test_vantage_point_shards_find_all_links(spark, rows):
+@pytest.mark.parametrize("rows, sample", [(40, 16), (40, 400), (100000, 16)])
+def test_vantage_point_shards_find_all_links(spark, rows, sample):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 700).astype(np.uint64)
     points = np.unique(np.concatenate([base] + [base[:200] ^ (np.uint64(1) << rng.integers(0, 63, 200).astype(np.uint64)) for _ in range(3)] + [np.arange(300, dtype=np.uint64)]))
     df = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long")
-    got = {r.fp: r.root for r in simhash.link_components(df, shard_rows=rows).collect()}
+    got = {r.fp: r.root for r in simhash.link_components(df, shard_rows=rows, sample_rows=sample).collect()}
     close = np.bitwise_count(points[:, None] ^ points[None]) <= 4
     label = np.arange(len(points))
     while True:
@@ -213,6 +213,17 @@ def test_vantage_point_shards_find_all_links(spark, rows):
     assert {frozenset(g) for g in found.values()} == want and all(r == min(g) for r, g in found.items())
 
 
+def test_shards_beyond_the_sample():
+    points = np.random.default_rng(6).integers(0, 2**63, 20000).astype(np.uint64)
+    nodes = simhash.plant(points[:200], 8)
+    home = {}
+    for shard, own, at_home in simhash.route(points, nodes, 4, 5):
+        if at_home:
+            assert shard not in home
+            home[shard] = len(own)
+    assert sum(home.values()) == len(points) and len(home) > 200 and max(home.values()) < 500
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 7), (200, 201), (201, 200), (5, 5), (300, 300)] + [(1000 + i, 1000) for i in range(50)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -353,6 +364,17 @@ def test_quality_of_odd_rows(spark, odd, empty):
     assert quality.accepted(odd, labels).columns == odd.columns
 
 
+def test_shape_of_the_whole_word():
+    assert quality.shape("A" * 50 + "b1") == "Xx9" and quality.shape("") == "" and quality.shape("ab--Cd12.5") == "x-Xx9.9"
+    assert quality.shape("x" * 41 + "9") != quality.shape("x" * 41)
+
+
+def test_words_are_counted_over_all_documents(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "gamma " * 30), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert "gamma" in quality.fit(docs, labels).vocabulary.words
+
+
 def test_held_out_rule(spark):
     import zlib
 
