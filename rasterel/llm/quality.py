@@ -16,9 +16,11 @@ language, source and id are no inputs of a score.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +33,33 @@ from .common import written
 SAMPLE_ROWS, VOCABULARY, SHAPES, LENGTH, HIDDEN = 12_000, 6000, 600, 64, 32
 #: Score from which a document counts as good.
 THRESHOLD = 0.3
-#: Tokens pooled at a time; words whose tokens a task remembers; parts in which the tasks' sums of vectors are added up.
-CHUNK_TOKENS, CACHE_WORDS, PARTS = 100_000, 200_000, 32
+#: Tokens read at a time; words whose tokens a task remembers; texts pooled at a time; parts in which the tasks' sums are added up.
+CHUNK_TOKENS, CACHE_WORDS, POOL_ROWS, PARTS = 100_000, 200_000, 64, 32
+#: The most frequent words, whose index vectors add to those of their neighbours; shapes all do.
+CONTEXTS = 2000
+
+
+class _Kinds(dict):
+    """What stands for a character in a shape, by code point."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        self[point] = kind = "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
+        return kind
+
+
+_KINDS, _RUN = _Kinds(), re.compile(r"(.)\1+", re.S)
 
 
 def shape(word: str) -> str:
     """The runs of upper case, lower case, digits and marks of the whole word; marks stand for themselves."""
-    kinds = ["X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word]
-    return "".join(k for k, before in zip(kinds, [None, *kinds]) if k != before)
+    stem, end = (word, "") if word.isalpha() else (word[:-1], word[-1:])
+    if stem.isalpha() and (not end or _KINDS[ord(end)] == end):  # most words, without looking at each character
+        if stem.islower():
+            return "x" + end
+        if stem[0].isupper() and stem[1:].islower():
+            return "Xx" + end
+    return _RUN.sub(r"\1", word.translate(_KINDS))
 
 
 def _index_vector(token: str, length: int) -> np.ndarray:
@@ -64,31 +85,35 @@ class Vocabulary:
         return [*(f"w {x}" for x in self.words), *(f"s {x}" for x in self.shapes), "other w", "other s", "again"]
 
 
+class _Numbers(dict):
+    """Numbers words as they come, and keeps the token numbers of those that are new."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.v, self.other, self.fresh = vocabulary, len(vocabulary.words) + len(vocabulary.shapes), []
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append((self.v.words.get(word.lower(), self.other), self.v.shapes.get(shape(word), self.other + 1)))
+        self[word] = number = len(self)
+        return number
+
+
 class Reader:
     """Turns texts into token numbers: per word its number and its shape's, and which words repeat."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.seen, self.pairs = vocabulary, {}, np.empty((0, 2), np.int64)
-        self.fresh: list[tuple[int, int]] = []
-
-    def _number(self, word: str) -> int:
-        number = self.seen.get(word)
-        if number is None:
-            n = len(self.v.words) + len(self.v.shapes)
-            self.fresh.append((self.v.words.get(word.lower(), n), self.v.shapes.get(shape(word), n + 1)))
-            number = self.seen[word] = len(self.seen)
-        return number
+        self.seen, self.pairs = _Numbers(vocabulary), np.empty((0, 2), np.int64)
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(word numbers, shape numbers, repeats the word before, number of words of each text)."""
         if len(self.seen) > CACHE_WORDS:
-            self.seen, self.pairs = {}, self.pairs[:0]
+            self.seen.clear()
+            self.pairs = self.pairs[:0]
         words = [t.split() for t in texts]
         sizes = np.array([len(w) for w in words], np.int64)
-        ids = np.fromiter((self._number(w) for x in words for w in x), np.int64, sizes.sum())
-        if self.fresh:
-            self.pairs = np.concatenate([self.pairs, np.array(self.fresh, np.int64)])
-            self.fresh = []
+        ids = np.fromiter(map(self.seen.__getitem__, chain.from_iterable(words)), np.int64, sizes.sum())
+        if self.seen.fresh:
+            self.pairs = np.concatenate([self.pairs, np.array(self.seen.fresh, np.int64)])
+            self.seen.fresh = []
         again = np.r_[False, ids[1:] == ids[:-1]][: len(ids)]
         again[np.cumsum(sizes)[:-1][np.cumsum(sizes)[:-1] < len(ids)]] = False
         return self.pairs[ids, 0], self.pairs[ids, 1], again, sizes
@@ -117,8 +142,16 @@ def pool(texts: list[str], reader: Reader, vectors: np.ndarray) -> np.ndarray:
         return out
     begin = (np.cumsum(sizes) - sizes)[full]
     share = np.add.reduceat(again.astype(np.float32), begin) / sizes[full]
-    means = [np.add.reduceat(vectors[ids], begin, axis=0) / sizes[full, None] for ids in (word, form)]
-    out[full] = np.c_[means[0], means[1] + share[:, None] * vectors[-1]]
+    half, size = vectors.shape[1], len(vectors)
+    for at in range(0, len(texts), POOL_ROWS):
+        # Counts by text and token, times the vectors: one matrix product for some texts.
+        rows = slice(at, at + POOL_ROWS)
+        own, first = sizes[rows], int(sizes[:at].sum())
+        text = np.repeat(np.arange(len(own)) * size, own)
+        for k, ids in enumerate((word, form)):
+            counts = np.bincount(text + ids[first : first + len(text)], minlength=len(own) * size).reshape(len(own), size)
+            out[rows, k * half : (k + 1) * half] = counts.astype(np.float32) @ vectors / np.maximum(own, 1)[:, None]
+    out[full, half:] += share[:, None] * vectors[-1]
     return out
 
 
@@ -233,25 +266,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     shared = sc.broadcast((vocabulary, index))
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The task's sums of index vectors around each token: two words each way, their shapes, its own pair."""
+        """The task's sums of index vectors around each token: two words each way, their shapes, its own pair.
+
+        Neighbours are counted, and the counts multiplied by the vectors at the end.
+        """
         vocabulary, index = shared.value
-        reader, total = Reader(vocabulary), np.zeros((vocabulary.size, LENGTH))
+        reader = Reader(vocabulary)
+        # Columns of the counts: frequent words, then what comes after all words, then a column for words that don't count.
+        n_words, n_contexts = len(vocabulary.words), min(CONTEXTS, len(vocabulary.words))
+        column = np.r_[np.arange(n_contexts), np.full(n_words - n_contexts, vocabulary.size - n_words + n_contexts), np.arange(n_contexts, vocabulary.size - n_words + n_contexts)]
+        width = vocabulary.size - n_words + n_contexts + 1
+        counts = np.zeros(vocabulary.size * width, np.int32)
         for batch in batches:
             for _, texts in _chunks(batch.column(0)):
                 word, form, again, sizes = reader.read(texts)
-                both = index[word] + index[form]
-                near = index[form] + np.where(again[:, None], index[-1], 0)
                 doc = np.repeat(np.arange(len(sizes)), sizes)
-                for k in (1, 2):
-                    same = doc[k:] == doc[:-k]
-                    near[k:][same] += both[:-k][same]
-                    near[:-k][same] += both[k:][same]
                 for ids in (word, form):
-                    order = np.argsort(ids, kind="stable")
-                    ids = ids[order]
-                    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]][: len(ids)])
-                    if len(first):
-                        total[ids[first]] += np.add.reduceat(near[order], first, axis=0)
+                    np.add.at(counts, ids * width + column[form], 1)
+                    np.add.at(counts, ids[again] * width + (width - 2), 1)
+                for k in (1, 2):
+                    left = np.flatnonzero(doc[k:] == doc[:-k])
+                    for a, b in ((left, left + k), (left + k, left)):
+                        for ids in (word[a], form[a]):
+                            for near in (word[b], form[b]):
+                                np.add.at(counts, ids * width + column[near], 1)
+        used = np.r_[index[:n_contexts], index[n_words:], np.zeros((1, LENGTH), np.float32)]
+        total = np.concatenate([part.astype(np.float32) @ used for part in np.array_split(counts.reshape(vocabulary.size, width), 16)])
         for k in range(PARTS):
             own = np.flatnonzero(total[k::PARTS].any(axis=1)).astype(np.int32)
             yield pa.record_batch([pa.array([k], pa.int32()), pa.array([own.tobytes()], pa.binary()), pa.array([total[k::PARTS][own].astype(np.float32).tobytes()], pa.binary())], names=["part", "rows", "sums"])
