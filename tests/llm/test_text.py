@@ -296,7 +296,7 @@ ITEM = "If Anna buys 12 apples at 3 dollars each and gives 4 to Bernd then how m
 LEAKS = {
     1: ("Intro. If Peter buys 15 apples at 7 dollars each and gives 2 to Clara then how many apples does Peter keep", True),
     2: ("If Peter buys 15 apples at 7 dollars each and gives 2 to Clara then how many apples does Hans keep", False),
-    3: (f"Before it, {ITEM.upper()} and after", False),  # in capitals there are no names to tell
+    3: (f"Before it, {ITEM.upper()} and after", True),
     4: (ITEM + " and so on", True),
     5: ("some words of the item then how many apples does Anna keep and others", False),
     6: (None, False),
@@ -309,13 +309,50 @@ def test_template_leaks(spark):
     docs = spark.createDataFrame([(d, t) for d, (t, _) in LEAKS.items()] + [(None, ITEM), (4, LEAKS[4][0])], "doc_id long, text string")
     items = spark.createDataFrame([(1, ITEM), (2, None), (3, ""), (4, "too short"), (None, "null ids are items as well, and this one has enough words")], "item_id long, text string")
     out = decontam.leaks(docs, items).collect()
-    assert {r.doc_id for r in out} == {d for d, (_, hit) in LEAKS.items() if hit} | {None} and len(out) == 4
-    assert {r.doc_id: (r.n_slots, r.n_changed) for r in out}[1] == (6, 5)
-    assert decontam.without_leaks(docs, items).count() == docs.count() - 5
+    assert {r.doc_id for r in out} == {d for d, (_, hit) in LEAKS.items() if hit} | {None} and len(out) == 6
+    n = {r.doc_id: (r.n_windows, r.n_matched, r.n_verbatim) for r in out}
+    assert n[4] == n[3] == (17, 17, 17) and n[1][:2] == (17, 17) and n[1][2] < 8
+    assert decontam.without_leaks(docs, items).count() == docs.count() - 6
     split = decontam.leaks(docs, items, block_windows=3)
     assert rows_of(split) == rows_of(decontam.leaks(docs, items))
 
 
+def leaked(spark, docs, items):
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    out = decontam.leaks(df, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    return {(r.doc_id, r.item_id) for r in out}, out
+
+
+def test_names_that_lead_sentences(spark):
+    item = "Natalia sold 48 clips to friends in April. Natalia then sold half as many in May. How many clips did Natalia sell in all?"
+    docs = [item.replace("Natalia", "Peter"), item.lower(), f'"{item.replace("Natalia", "Eva").replace("48", "12")}"', item.replace("Natalia", "Peter", 1)]
+    assert leaked(spark, docs, [item])[0] == {(0, 0), (1, 0), (2, 0), (3, 0)}  # the last one is verbatim but for a word
+
+
+def test_values_may_become_equal_or_differ(spark):
+    item = "A farmer has 3 cows in one field and then 4 sheep in the other field so how many animals graze on the farm today"
+    equal = item.replace("3", "4")
+    twins = "A farmer has 5 cows in one field and then 5 sheep in the other field so how many animals graze on the farm today"
+    differ = twins.replace("5 cows", "6 cows")
+    assert leaked(spark, [equal], [item])[0] == {(0, 0)}
+    assert leaked(spark, [differ], [twins])[0] == {(0, 0)}  # all but the windows around one number are verbatim
+    names = "Then Anna met Bernd and Anna gave Bernd some of the bread that Anna had while Bernd gave Anna some of the milk"
+    mixed = names.replace("Anna", "Clara").replace("Bernd", "Doris")
+    assert leaked(spark, [mixed, mixed.replace("that Clara", "that Emma").replace("while Doris", "while Frida")], [names])[0] == {(0, 0)}
+
+
+def test_items_without_plain_words_and_short_ones(spark):
+    items = ["Add 3 and 5", "1 2 3 4 5 6 7 8", "Hund Katze Maus Vogel Fisch Pferd Kuh", "Bern"]
+    docs = ["please add 3 and 5 now", "0 1 2 3 4 5 6 7 8 9", "HUND KATZE MAUS VOGEL FISCH PFERD KUH", "add 4 and 5", "2 3 4 5 6 7 8 9 10 11", "Hase Katze Huhn Vogel Ente Pferd Ross", "from bern", None]
+    assert leaked(spark, docs, items)[0] == {(0, 0), (1, 1), (2, 2), (6, 3)}
+
+
+def test_many_items_of_one_form(spark):
+    items = [f"If a train leaves the station at {i} and runs for {i + 7} hours how far does the train run before it stops" for i in range(10000)]
+    found, out = leaked(spark, [items[5], items[5].replace("5", "70000"), "how far does the train run before it stops"] * 20, items)
+    assert found == {(d, 0) for d in range(60) if d % 3 < 2} and {r.n_items for r in out} == {10000}
+
+
 def test_leaks_of_odd_rows(odd, empty, spark):
     items = spark.createDataFrame([(1, "word1 word2 word3 word4 word5 word6 word7 word8")], "item_id long, text string")
     assert {r.doc_id for r in decontam.digest(odd, items).collect()} == {-3, 1, 2, 7, None}
