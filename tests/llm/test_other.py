@@ -87,6 +87,10 @@ HTML = [
     ("<div class='header'>top</div><div><p>Some text stands here for a reader.</p></div><div class=\"cookie-notice\">We use cookies</div><div id=comments><p>Nice!</p></div>", "Some text stands here for a reader."),
     ("<article><p>kept</p><div class='ad banner'>buy</div><form><input>name</form><script>var a='<p>no</p>'</script><style>p{}</style><!-- <p>no</p> --><p>also</p><section class='comments'><p>me too</p></section></article>", "kept\nalso"),
     ("<table><tr><td>1<td>2<tr><td>3</table>", "1\n2\n3"), ("plain words only", "plain words only"), ("", ""), (None, ""), ("<p>", ""), ("<nav>only menu</nav>", ""), ("<article><p>cut of", "cut of"), ("a < b & c", "a < b & c"),
+    ("<article><h2 class='section-header'>Head</h2><div id='social-history'><p>Some history.</p></div><p class='search'>The search went on.</p></article>", "Head\nSome history.\nThe search went on."),
+    ("<article><header><h1>Headline</h1></header><p>Text.</p></article>", "Headline\nText."), ("<div>Site</div><article><p>Some words here are the text.</p></article><div>Copyright 2020</div>", "Some words here are the text."),
+    ("<div><p>The story is long and stands in a div without a name.</p></div><article><p>short one</p></article>", "The story is long and stands in a div without a name.\nshort one"),
+    ("<ul><li><a>Home</a><li><a>News</a></ul><div class=post-content><p>Words.</p><p><a>A link at the end</a></p></div><div class='comment-list'><p>Well said.</p></div>", "Words.\nA link at the end"),
     ("<article><p hidden>no</p><p style='display: none'>no</p><p>yes</p></article>", "yes"),
 ]
 
@@ -108,6 +112,38 @@ def test_html_of_the_table(spark, sf_dir):
         assert r.text == "\n".join(b for b in blocks if b)
 
 
+def test_html_empty_repeated_and_long(spark):
+    page = "<article>" + "<p>some words of it</p>" * 30000 + "</article><footer>foot</footer>"
+    df = spark.createDataFrame([(1, "u", page), (1, "u", page), (2, None, "<p>x</p>"), (2, None, "<p>x</p>")], "page_id long, url string, html string")
+    out = html_extract.extract_pages(df).collect()
+    assert sorted(r.n_chars for r in out) == [1, 1, 30000 * 17 - 1, 30000 * 17 - 1]
+    assert html_extract.extract_pages(df.limit(0)).count() == 0
+
+
+def test_html_time_is_linear():
+    import time
+
+    for form in ("<div>{}</span>", "<li><ul>{}</li>", "<li><ul>{}<li></li>", "<p>{}<div>", "<x>{}</y>"):
+        begin, end = form.split("{}")
+        n = 40000
+        began = time.perf_counter()
+        html_extract.extract(begin * n + "text" + end * n)
+        assert time.perf_counter() - began < 10  # minutes, if each tag looked at all that are open
+
+
+def test_layouts_are_told_apart():
+    weights = html_extract.weights_of_labelled()
+    for page in html_extract.labelled_pages()[::7]:
+        told = html_extract._told(page)
+        plain = html_extract.re.sub(r"\s*data-(?:main|aside)", "", page)
+        scored = html_extract.scored(plain, weights)
+        sums = np.r_[0, np.cumsum([s for *_, s in scored])]
+        begin, end = html_extract.best_stretch([s for *_, s in scored])
+        assert sums[end] - sums[begin] == pytest.approx((sums[None] - sums[:, None])[np.triu_indices(len(sums))].max())  # all stretches of the page
+        kept = [begin <= i < end and not bad for i, (_, _, bad, _) in enumerate(scored)]
+        assert all(k == label for k, (tag, text, *_, label) in zip(kept, told) if not tag and text.strip())
+
+
 def test_scan_finds_the_best_stretch():
     rng = np.random.default_rng(1)
     for _ in range(200):
