@@ -1,13 +1,14 @@
-"""Near-duplicate groups by exact Jaccard similarity of word shingles, for the pipeline.
+"""Near-duplicate groups by SimHash links that are verified by exact Jaccard similarity, and the rest of the pairs.
 
 A pair is linked if the sets of its shingles have a Jaccard similarity of ``SIMILARITY`` or more.
-Candidates come from prefixes: under any one order of all shingles, two such sets of which the
-larger has n shingles share ``SIMILARITY * n`` of them, so the first ``n - SIMILARITY * n + 1`` of
-each set have one in common. No pair is lost by that, and each candidate is verified. Shingles that
-are frequent in a sample of texts are last in the order; the sample alters speed alone.
-
-Candidates are first sought with up to three leaders for each prefix shingle, which is linear in the rows
-and gathers large groups of near copies; after that only pairs that aren't yet in one component.
+Close fingerprints, found by the vantage-point trees of ``simhash``, are the first candidates. Similar texts
+differ in more bits than trees can search, so that the rest comes from prefixes: under any one order of
+all shingles, two such sets of which the larger has n shingles share ``SIMILARITY * n`` of them, so the first
+``n - SIMILARITY * n + 1`` of each set have one in common. No pair is lost by that, and each candidate is
+verified. Shingles that are frequent in a sample of texts are last in the order; the sample alters speed alone.
+
+Together with the fingerprints' candidates up to three leaders for each prefix shingle are compared, which is
+linear in the rows and gathers large groups of near copies; after that only pairs that aren't yet in one component.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_order, fresh, written
+from .common import doc_order, written
 from .components import connected_components
-from .simhash import shingle_hashes
+from .simhash import RADIUS, links as close_fingerprints, of_hashes, shingle_hashes
 
 #: Least similarity of linked texts, and words in a shingle.
 SIMILARITY, SHINGLE = 0.8, 5
@@ -42,12 +43,19 @@ def _prefix(grams: np.ndarray, common: np.ndarray, similarity: float) -> np.ndar
     return grams[np.lexsort((grams, rank))[:length]]
 
 
-def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Slices of the batches (text last), and the sorted distinct shingles of each row."""
+def _sets(batches: Iterator[pa.RecordBatch], shingle: int, fps: list[int] | None = None) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of the batches (text last), and the sorted distinct shingles of each row; fps is set to their fingerprints."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            yield part, [np.unique(shingle_hashes(t.as_py(), shingle)) for t in part.column(part.num_columns - 1)]
+            part, sets = batch.slice(at, 256), []
+            if fps is not None:
+                fps.clear()
+            for t in part.column(part.num_columns - 1):
+                hashes = shingle_hashes(t.as_py(), shingle)
+                if fps is not None:
+                    fps.append(of_hashes(hashes))
+                sets.append(np.unique(hashes))
+            yield part, sets
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -75,7 +83,7 @@ def _frequent(texts: DataFrame, shingle: int) -> np.ndarray:
     return found.gram.to_numpy(np.int64).view(np.uint64)[::-1].copy()
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, text_hash, kept) for every row of ``docs``.
 
     Words and shingles are those of ``simhash``: fewer words than a shingle are one shingle. Texts
@@ -89,16 +97,17 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     common = spark.sparkContext.broadcast(_frequent(own, shingle))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, sets in _sets(batches, shingle):
+        fps: list[int] = []
+        for part, sets in _sets(batches, shingle, fps):
             keys = np.array([_key(s) for s in sets], np.uint64).view(np.int64)
             sizes = pa.array([len(s) for s in sets], pa.int32())
-            yield pa.record_batch([part.column(0), part.column(1), pa.array(keys), sizes, _lists([_prefix(s, common.value, similarity) for s in sets])], names=["doc_id", "text_hash", "key", "n", "prefix"])
+            yield pa.record_batch([part.column(0), part.column(1), pa.array(keys), pa.array(np.array(fps, np.uint64).view(np.int64)), sizes, _lists([_prefix(s, common.value, similarity) for s in sets])], names=["doc_id", "text_hash", "key", "fp", "n", "prefix"])
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, shingle):
             yield pa.record_batch([part.column(0), _lists(sets)], names=["key", "grams"])
 
-    made = written(own.mapInArrow(make, "doc_id long, text_hash long, key long, n int, prefix array<long>"))
+    made = written(own.mapInArrow(make, "doc_id long, text_hash long, key long, fp long, n int, prefix array<long>"))
     first = written(made.groupBy("key").agg(F.min(F.struct(doc_order(F.col("doc_id")).alias("id"), "text_hash")).alias("_first")))
     rows = made.select(F.explode("prefix").alias("token"), "key", "n")
     repeated = rows.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("token")
@@ -116,10 +125,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         both = both.select("a", "b", (F.size("_a") + F.size("_b")).alias("_n"), F.size(F.array_intersect("_a", "_b")).alias("_m"))
         return both.where(F.col("_m") >= F.lit(similarity) * (F.col("_n") - F.col("_m")) - 1e-6).select("a", "b")
 
+    # Sets of one fingerprint meet its first one; first ones of close fingerprints meet each other.
+    printed = made.select("key", "fp").distinct()
+    firsts = written(printed.groupBy("fp").agg(F.min("key").alias("first"), F.max("key").alias("last")))
+    close = written(close_fingerprints(firsts, radius))
+    told = close.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("_a")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("_b")), "b").select("_a", "_b")
+    same = printed.join(firsts.where("first <> last"), "fp").select(F.col("key").alias("_a"), F.col("first").alias("_b")).where("_a <> _b")
+    proposed = told.union(same).select(F.greatest("_a", "_b").alias("a"), F.least("_a", "_b").alias("b"))
+
     ranks = [F.col("key"), -F.col("key"), F.xxhash64("key")]
     leaders = shared.groupBy("token").agg(*(F.min(F.struct(r.alias("r"), F.col("key").alias("k"), F.col("n").alias("m"))).alias(f"_{i}") for i, r in enumerate(ranks)))
     led = shared.join(leaders.select("token", F.array("_0", "_1", "_2").alias("_l")), "token").select("key", "n", F.explode("_l").alias("_l"))
-    pairs = written(led.where((F.col("key") != F.col("_l.k")) & near(F.col("n"), F.col("_l.m"))).select(F.greatest("key", "_l.k").alias("a"), F.least("key", "_l.k").alias("b")).distinct())
+    by_leaders = led.where((F.col("key") != F.col("_l.k")) & near(F.col("n"), F.col("_l.m"))).select(F.greatest("key", "_l.k").alias("a"), F.least("key", "_l.k").alias("b"))
+    pairs = written(by_leaders.union(proposed).distinct())
     linked = written(links(pairs))
     roots = connected_components(linked).select(F.col("node").alias("key"), "root")
     told = written(shared.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
@@ -128,16 +146,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more = written(links(rest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")))
     roots = connected_components(linked.union(more)).select(F.col("node").alias("key"), "root")
 
-    grouped = first.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    lowest = grouped.groupBy("root").agg(F.min("_first").alias("_low"))
-    ids = grouped.join(lowest, "root").select(F.col("key").alias("_key"), "_low")
+    members = written(first.join(roots, "key", "left"))
+    lowest = written(members.where("root IS NOT NULL").groupBy("root").agg(F.min("_first").alias("_low")))
+    ids = members.join(lowest, "root", "left").select(F.col("key").alias("_key"), F.coalesce("_low", "_first").alias("_low"))
     mine = F.struct(doc_order(F.col("doc_id")).alias("id"), "text_hash")
     return made.drop("prefix").join(ids, made.key == ids._key).select("doc_id", "text_hash", (mine == F.col("_low")).alias("kept"))
-
-
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each group of similar texts, all columns kept; of rows that repeat id and text, any one."""
-    d, t = fresh(docs, "_d", "_t")
-    keep = similar_groups(docs, id_col, text_col, **options).where("kept").select(doc_order(F.col("doc_id")).alias(d), F.col("text_hash").alias(t)).distinct()
-    marked = docs.withColumns({d: doc_order(F.col(id_col)), t: F.xxhash64(F.col(text_col).cast("string"))})
-    return marked.join(keep, [d, t], "left_semi").dropDuplicates([d, t]).drop(d, t)

@@ -55,7 +55,11 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The SimHash of a whole text, unsigned; 0 if it has no word."""
-    h = shingle_hashes(text, shingle)
+    return of_hashes(shingle_hashes(text, shingle))
+
+
+def of_hashes(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     n = len(h)
     if not n:
         return 0
@@ -205,8 +209,8 @@ def close_links(home: np.ndarray, guests: np.ndarray, radius: int = RADIUS, seed
     return points[linked], points[up[linked]]
 
 
-def link_components(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, sample_rows: int = LEAST_SAMPLE) -> DataFrame:
-    """(fp, root) of the fingerprints in the column fp that are within ``radius`` of another one."""
+def links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, sample_rows: int = LEAST_SAMPLE) -> DataFrame:
+    """(a, b), a spanning forest of each shard's pairs of fingerprints (column fp) within ``radius``: it joins what any pair joins."""
     spark = fps.sparkSession
     distinct = written(fps.select("fp").distinct())
     n = distinct.count()
@@ -233,8 +237,12 @@ def link_components(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHAR
         return pa.table([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     sent = distinct.mapInArrow(send, "shard long, fp long, home boolean")
-    edges = sent.groupBy("shard").applyInArrow(link, "a long, b long")
-    return connected_components(edges).select(F.col("node").alias("fp"), "root")
+    return sent.groupBy("shard").applyInArrow(link, "a long, b long")
+
+
+def link_components(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, sample_rows: int = LEAST_SAMPLE) -> DataFrame:
+    """(fp, root) of the fingerprints in the column fp that are within ``radius`` of another one."""
+    return connected_components(links(fps, radius, shard_rows, sample_rows)).select(F.col("node").alias("fp"), "root")
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -259,15 +267,21 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return fps.join(ids, fps.fp == ids._fp).select("doc_id", "text_hash", "fp", F.nullif(F.col("_low.id"), F.lit(NO_ID)).alias("component_id"), (own == F.col("_low")).alias("kept"))
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **options) -> DataFrame:
     """``docs`` with one row of each near-duplicate group, all columns kept.
 
     It is the row with the smallest id and, of rows with one id, the smallest text hash; of rows
-    that repeat both, any one.
+    that repeat both, any one. With ``similarity`` fingerprints only propose links: texts are linked by
+    an exact Jaccard similarity of their shingles, and pairs beyond the radius are found as well (``jaccard``).
     """
     d, t = fresh(docs, "_d", "_t")
-    groups = near_duplicate_groups(docs, id_col, text_col, **options)
-    keep = groups.where("kept").select(doc_order(F.col("doc_id")).alias(d), F.col("text_hash").alias(t)).distinct()
+    if similarity is None:
+        groups = near_duplicate_groups(docs, id_col, text_col, **options)
+    else:
+        from .jaccard import similar_groups
+
+        groups = similar_groups(docs, id_col, text_col, similarity, **options)
+    keep = written(groups.where("kept").select(doc_order(F.col("doc_id")).alias(d), F.col("text_hash").alias(t)).distinct())
     marked = docs.withColumns({d: doc_order(F.col(id_col)), t: F.xxhash64(F.col(text_col).cast("string"))})
     return marked.join(keep, [d, t], "left_semi").dropDuplicates([d, t]).drop(d, t)
 
