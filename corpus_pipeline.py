@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterel.llm import bpe, decontam, jaccard, line_dedup, quality
+from rasterel.llm import bpe, decontam, line_dedup, quality, simhash
 from rasterel.llm.common import table, written
 from rasterel.llm.queries import tokenizer_path
 
@@ -30,8 +30,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word Jaccard of 0.8 or more) one document stays."""
-    return jaccard.one_of_each_group(docs)
+    """Of each group of near duplicates one document stays: SimHash links of five-word shingles, verified and completed by a Jaccard of 0.8 or more."""
+    return simhash.one_of_each_group(docs, shingle=5, similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
