@@ -27,7 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import only_cache, written
 
 #: Most words in the lexicon and the fewest times one occurs; fixed bounds at any corpus size.
 LEXICON_WORDS, LEXICON_MIN_COUNT = 1 << 17, 2
@@ -266,13 +266,11 @@ class Transducer:
         return self.output_list[self.start_list[number] : self.start_list[number + 1]]
 
 
-_loaded: dict[str, object] = {}  # by digest, in a Python worker
-
-
 def _model(data: bytes, digest: str) -> Model:
-    if digest not in _loaded:
-        _loaded[digest] = Model(data)
-    return _loaded[digest]
+    held = only_cache("bpe")
+    if digest not in held:
+        held[digest] = Model(data)
+    return held[digest]
 
 
 class Encoder:
@@ -379,11 +377,12 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in passed), "n_tokens long, ids_sha256 string, decoded_sha256 string", *["token_ids array<int>, decoded string"] * with_ids])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _loaded:
-            for old in [k for k in _loaded if k.startswith("lexicon-")]:
-                del _loaded[old]
-            _loaded[name] = Encoder(_model(shared.value, digest), Transducer.open(SparkFiles.get(name)))
-        encoder = _loaded[name]
+        held = only_cache("bpe")
+        if name not in held:
+            for old in [k for k in held if k.startswith("lexicon-")]:
+                del held[old]
+            held[name] = Encoder(_model(shared.value, digest), Transducer.open(SparkFiles.get(name)))
+        encoder = held[name]
 
         def out(rows: pa.RecordBatch, words: list[list[str]]) -> pa.RecordBatch:
             encoder.learn(set().union(*words))

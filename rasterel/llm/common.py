@@ -49,6 +49,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What a Python worker keeps from one task to the next, by operator.
+_CACHES: dict[str, dict] = {}
+
+
+def only_cache(operator: str) -> dict:
+    """What this Python worker keeps for an operator's tasks; those of other operators are dropped, for workers outlive queries."""
+    for other in [k for k in _CACHES if k != operator]:
+        del _CACHES[other]
+    return _CACHES.setdefault(operator, {})
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as it takes to be no column of ``df``."""
     taken = {c.lower() for c in df.columns}

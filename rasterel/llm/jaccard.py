@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_order, written
+from .common import doc_order, only_cache, written
 from .components import connected_components
 from .simhash import RADIUS, links as close_fingerprints, of_hashes, shingle_hashes
 
@@ -73,6 +73,7 @@ def _frequent(texts: DataFrame, shingle: int) -> np.ndarray:
     """Frequent shingles of a sample, in ascending frequency."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache("jaccard")
         for _, sets in _sets(batches, shingle):
             yield pa.record_batch([pa.array(np.concatenate(sets).view(np.int64))], names=["gram"])
 
@@ -97,6 +98,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     common = spark.sparkContext.broadcast(_frequent(own, shingle))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache("jaccard")
         fps: list[int] = []
         for part, sets in _sets(batches, shingle, fps):
             keys = np.array([_key(s) for s in sets], np.uint64).view(np.int64)

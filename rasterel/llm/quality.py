@@ -27,16 +27,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import only_cache, written
 
 #: Labelled rows that fit the model; words and shapes with vectors of their own; vector length; hidden units.
 SAMPLE_ROWS, VOCABULARY, SHAPES, LENGTH, HIDDEN = 12_000, 6000, 600, 64, 32
 #: Score from which a document counts as good.
 THRESHOLD = 0.3
 #: Tokens read at a time; words whose tokens a task remembers; texts pooled at a time; parts in which the tasks' sums are added up.
-CHUNK_TOKENS, CACHE_WORDS, POOL_ROWS, PARTS = 100_000, 200_000, 64, 32
+CHUNK_TOKENS, CACHE_WORDS, POOL_ROWS, PARTS = 100_000, 150_000, 64, 32
 #: The most frequent words, whose index vectors add to those of their neighbours; shapes all do.
-CONTEXTS = 2000
+CONTEXTS = 1000
 
 
 class _Kinds(dict):
@@ -236,6 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache("quality")
         own = Counter()
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -281,15 +282,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for _, texts in _chunks(batch.column(0)):
                 word, form, again, sizes = reader.read(texts)
                 doc = np.repeat(np.arange(len(sizes)), sizes)
-                for ids in (word, form):
-                    np.add.at(counts, ids * width + column[form], 1)
-                    np.add.at(counts, ids[again] * width + (width - 2), 1)
+                cells = [c for ids in (word, form) for c in (ids * width + column[form], ids[again] * width + (width - 2))]
                 for k in (1, 2):
                     left = np.flatnonzero(doc[k:] == doc[:-k])
                     for a, b in ((left, left + k), (left + k, left)):
-                        for ids in (word[a], form[a]):
-                            for near in (word[b], form[b]):
-                                np.add.at(counts, ids * width + column[near], 1)
+                        cells += [ids * width + column[near] for ids in (word[a], form[a]) for near in (word[b], form[b])]
+                cell, n = np.unique(np.concatenate(cells).astype(np.int32), return_counts=True)
+                counts[cell] += n.astype(np.int32)
         used = np.r_[index[:n_contexts], index[n_words:], np.zeros((1, LENGTH), np.float32)]
         total = np.concatenate([part.astype(np.float32) @ used for part in np.array_split(counts.reshape(vocabulary.size, width), 16)])
         for k in range(PARTS):
