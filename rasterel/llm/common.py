@@ -21,13 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that driver and executors share.
 
-    The cluster names the parent in ``spark.checkpoint.dir``. Where that is unset (tests on
-    one machine), a temporary folder is made once a session and remembered there.
+    The cluster names the parent in ``spark.checkpoint.dir``. Where that is unset and Spark runs in
+    one process (tests), a temporary folder is made once a session and remembered there; on a cluster it's an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("rasterel.scratch.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("on a cluster spark.checkpoint.dir has to name a folder that driver and executors share")
             root = "file://" + tempfile.mkdtemp(prefix="rasterel-")
             spark.conf.set("rasterel.scratch.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -46,7 +48,16 @@ def written(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 #: What a Python worker keeps from one task to the next, by operator.

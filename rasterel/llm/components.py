@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Links every larger neighbour of a node to the smallest of the node and its neighbours."""
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links every larger neighbour of a node to the smallest of the node and its neighbours; and the table that it reads."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     # Written, so that a hub's rows meet one row of a plain table: Spark broadcasts it or splits the hub.
     low = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-    return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), low
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -37,7 +37,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if before[0] == 0:
             break
-        now = written(_small_star(_large_star(now)))
+        large, low = _large_star(now)
+        last, now = now, written(_small_star(large))
+        forget(last, low)
         after = now.agg(mark).first()[0]
         if after == before:
             break

@@ -5,7 +5,10 @@ Close fingerprints, found by the vantage-point trees of ``simhash``, are the fir
 differ in more bits than trees can search, so that the rest comes from prefixes: under any one order of
 all shingles, two such sets of which the larger has n shingles share ``SIMILARITY * n`` of them, so the first
 ``n - SIMILARITY * n + 1`` of each set have one in common. No pair is lost by that, and each candidate is
-verified. Shingles that are frequent in a sample of texts are last in the order; the sample alters speed alone.
+verified, first by parity marks: a bit for each hash value modulo the mark's length tells whether an odd number of
+shingles fell there, so that two sets differ in at least as many shingles as their marks differ in bits. Only pairs
+that this leaves possible are compared as sets. Shingles that are frequent in a sample of texts are last in
+the order; the sample alters speed alone.
 
 Together with the fingerprints' candidates up to three leaders for each prefix shingle are compared, which is
 linear in the rows and gathers large groups of near copies; after that only pairs that aren't yet in one component.
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_order, only_cache, written
+from .common import doc_order, forget, only_cache, written
 from .components import connected_components
 from .simhash import RADIUS, links as close_fingerprints, of_hashes, shingle_hashes
 
@@ -43,6 +46,23 @@ def _prefix(grams: np.ndarray, common: np.ndarray, similarity: float) -> np.ndar
     return grams[np.lexsort((grams, rank))[:length]]
 
 
+def _mark(grams: np.ndarray) -> bytes:
+    """The parity of the number of shingles by hash modulo a power of two, as large as the set at least."""
+    size = 1 << max(6, (len(grams) - 1).bit_length())
+    odd = np.bincount(((grams >> np.uint64(9)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _may_be_similar(a: bytes, b: bytes, n: int, m: int, similarity: float) -> bool:
+    """Whether marks of sets of n and m shingles allow the similarity: at most (n + m) * (1 - s) / (1 + s) shingles may differ."""
+    a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(a) > len(b):  # halves of a mark, one over the other, are the mark of half the length
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum()) <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-6
+
+
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int, fps: list[int] | None = None) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Slices of the batches (text last), and the sorted distinct shingles of each row; fps is set to their fingerprints."""
     for batch in batches:
@@ -103,29 +123,41 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for part, sets in _sets(batches, shingle, fps):
             keys = np.array([_key(s) for s in sets], np.uint64).view(np.int64)
             sizes = pa.array([len(s) for s in sets], pa.int32())
-            yield pa.record_batch([part.column(0), part.column(1), pa.array(keys), pa.array(np.array(fps, np.uint64).view(np.int64)), sizes, _lists([_prefix(s, common.value, similarity) for s in sets])], names=["doc_id", "text_hash", "key", "fp", "n", "prefix"])
+            yield pa.record_batch([part.column(0), part.column(1), pa.array(keys), pa.array(np.array(fps, np.uint64).view(np.int64)), sizes, pa.array([_mark(s) for s in sets], pa.binary()), _lists([_prefix(s, common.value, similarity) for s in sets])], names=["doc_id", "text_hash", "key", "fp", "n", "mark", "prefix"])
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, shingle):
             yield pa.record_batch([part.column(0), _lists(sets)], names=["key", "grams"])
 
-    made = written(own.mapInArrow(make, "doc_id long, text_hash long, key long, fp long, n int, prefix array<long>"))
+    made = written(own.mapInArrow(make, "doc_id long, text_hash long, key long, fp long, n int, mark binary, prefix array<long>"))
     first = written(made.groupBy("key").agg(F.min(F.struct(doc_order(F.col("doc_id")).alias("id"), "text_hash")).alias("_first")))
     rows = made.select(F.explode("prefix").alias("token"), "key", "n")
-    repeated = rows.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("token")
+    repeated = written(rows.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("token"))
     shared = written(rows.join(repeated, "token").distinct())
-    # One text for each set that shares a prefix shingle, as the set itself.
-    wanted = first.join(shared.select("key").distinct(), "key").select(F.col("_first.id").alias("_id"), F.col("_first.text_hash").alias("_t"), "key")
-    texts = own.join(wanted, (doc_order(F.col("doc_id")) == F.col("_id")) & (F.col("text_hash") == F.col("_t"))).dropDuplicates(["key"]).select("key", "text")
-    sets = written(texts.mapInArrow(grams, "key long, grams array<long>"))
+    forget(repeated)
+    marks = written(made.select("key", "n", "mark").dropDuplicates(["key"]))
 
     def near(n: Column, m: Column) -> Column:
         return F.least(n, m) >= F.lit(similarity) * F.greatest(n, m) - 1e-6
 
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [_may_be_similar(x, y, n, m, similarity) for x, y, n, m in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)))]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
     def links(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("_a")), "a").join(sets.select(F.col("key").alias("b"), F.col("grams").alias("_b")), "b")
+        """The pairs that are similar, told by marks and then by the sets of those that are left."""
+        sides = [marks.select(F.col("key").alias(k), F.col("mark").alias(f"_{k}"), F.col("n").alias(f"_n{k}")) for k in "ab"]
+        likely = written(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "_a", "_b", "_na", "_nb").mapInArrow(sieve, "a long, b long"))
+        wanted = written(first.join(likely.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key").select(F.col("_first.id").alias("_id"), F.col("_first.text_hash").alias("_t"), "key"))
+        # One text for each set that is left, as the set itself.
+        texts = own.join(wanted, (doc_order(F.col("doc_id")) == F.col("_id")) & (F.col("text_hash") == F.col("_t"))).select("key", "text")
+        sets = written(texts.mapInArrow(grams, "key long, grams array<long>").dropDuplicates(["key"]))
+        both = likely.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("_a")), "a").join(sets.select(F.col("key").alias("b"), F.col("grams").alias("_b")), "b")
         both = both.select("a", "b", (F.size("_a") + F.size("_b")).alias("_n"), F.size(F.array_intersect("_a", "_b")).alias("_m"))
-        return both.where(F.col("_m") >= F.lit(similarity) * (F.col("_n") - F.col("_m")) - 1e-6).select("a", "b")
+        found = written(both.where(F.col("_m") >= F.lit(similarity) * (F.col("_n") - F.col("_m")) - 1e-6).select("a", "b"))
+        forget(likely, wanted, sets)
+        return found
 
     # Sets of one fingerprint meet its first one; first ones of close fingerprints meet each other.
     printed = made.select("key", "fp").distinct()
@@ -140,16 +172,17 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     led = shared.join(leaders.select("token", F.array("_0", "_1", "_2").alias("_l")), "token").select("key", "n", F.explode("_l").alias("_l"))
     by_leaders = led.where((F.col("key") != F.col("_l.k")) & near(F.col("n"), F.col("_l.m"))).select(F.greatest("key", "_l.k").alias("a"), F.least("key", "_l.k").alias("b"))
     pairs = written(by_leaders.union(proposed).distinct())
-    linked = written(links(pairs))
+    linked = links(pairs)
     roots = connected_components(linked).select(F.col("node").alias("key"), "root")
     told = written(shared.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
     other = told.select("token", F.col("key").alias("b"), F.col("n").alias("m"), F.col("root").alias("_r"))
     rest = told.withColumnRenamed("key", "a").join(other, "token").where((F.col("a") > F.col("b")) & (F.col("root") != F.col("_r")) & near(F.col("n"), F.col("m")))
-    more = written(links(rest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")))
+    more = links(rest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
+    forget(shared, pairs, told, marks)
     roots = connected_components(linked.union(more)).select(F.col("node").alias("key"), "root")
 
     members = written(first.join(roots, "key", "left"))
     lowest = written(members.where("root IS NOT NULL").groupBy("root").agg(F.min("_first").alias("_low")))
     ids = members.join(lowest, "root", "left").select(F.col("key").alias("_key"), F.coalesce("_low", "_first").alias("_low"))
     mine = F.struct(doc_order(F.col("doc_id")).alias("id"), "text_hash")
-    return made.drop("prefix").join(ids, made.key == ids._key).select("doc_id", "text_hash", (mine == F.col("_low")).alias("kept"))
+    return made.drop("prefix", "mark").join(ids, made.key == ids._key).select("doc_id", "text_hash", (mine == F.col("_low")).alias("kept"))

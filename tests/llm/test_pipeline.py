@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from rasterel.llm import jaccard
 
 NO_ID = 2**63 - 1
 
@@ -60,6 +61,20 @@ def test_near_duplicates_against_brute_force(spark, odd, sf_dir, kind):
     assert out.columns == docs.columns
 
 
+def test_marks_never_rule_out_similar_sets():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n, differ = int(rng.integers(1, 700)), rng.random() * 0.4
+        one = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        two = np.unique(np.r_[one[rng.random(len(one)) >= differ], rng.integers(0, 2**63, int(n * differ * rng.random())).astype(np.uint64)])
+        same = len(np.intersect1d(one, two)) / max(1, len(np.union1d(one, two)))
+        if same >= 0.8:
+            assert jaccard._may_be_similar(jaccard._mark(one), jaccard._mark(two), len(one), len(two), 0.8)
+    far = [np.unique(rng.integers(0, 2**63, 500).astype(np.uint64)) for _ in range(20)]
+    assert not any(jaccard._may_be_similar(jaccard._mark(far[0]), jaccard._mark(f), 500, 500, 0.8) for f in far[1:])
+    assert jaccard._may_be_similar(jaccard._mark(far[0][:0]), jaccard._mark(far[0][:0]), 0, 0, 0.8)
+
+
 def test_near_duplicates_of_an_empty_table(spark, empty, sf_dir):
     assert corpus_pipeline.one_of_each(spark, empty, sf_dir).count() == 0
 
