@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from rasterel.functions.color import FROM_LAB, FROM_LMS, TO_LAB, TO_LMS
 
 from .fixtures import COLORS, REGIONS, SQL
@@ -135,6 +137,23 @@ judged AS (SELECT *, coalesce((n = r)::INT, 0) + coalesce((s = r)::INT, 0) + coa
 done AS (SELECT image_id, x, y, CASE WHEN same = 1 AND flat AND other >= 3 THEN 210 - r ELSE r END AS r FROM judged)"""
 
 
+def _cleanup(rounds: int) -> str:
+    """CTEs px0 to px<2 * rounds> (image_id, x, y, m, c): the rule for lone pixels and the one for jagged edges in turn."""
+    ctes = [EIGHT, "px0 AS (SELECT image_id, x, y, a >= 96 AS m, (r * 65536 + g * 256 + b) * 256 + a AS c FROM sprites)"]
+    for k in range(rounds):
+        p, q, r = f"px{2 * k}", f"px{2 * k + 1}", f"px{2 * k + 2}"
+        ctes.append(f"""n{p} AS MATERIALIZED (SELECT o.image_id, o.x, o.y, o.c, n.c AS d, count(*) AS k FROM {p} o, nb8 JOIN {p} n ON n.image_id = o.image_id AND n.x = o.x + dx AND n.y = o.y + dy AND n.m WHERE o.m GROUP BY ALL),
+t{p} AS (SELECT image_id, x, y, arg_min(d, struct_pack(k := -k, d := d)) AS d FROM n{p} GROUP BY image_id, x, y HAVING NOT bool_or(c = d)),
+{q} AS MATERIALIZED (SELECT o.image_id, o.x, o.y, o.m, coalesce(t.d, o.c) AS c FROM {p} o LEFT JOIN t{p} t ON t.image_id = o.image_id AND t.x = o.x AND t.y = o.y)""")
+        ctes.append(f"""v{q} AS (SELECT *, CASE WHEN m THEN c END AS v FROM {q}),
+h{q} AS (SELECT *, lag(v) OVER h AS w, lead(v) OVER h AS e, lag(v) OVER u AS n, lead(v) OVER u AS s FROM v{q} WINDOW h AS (PARTITION BY image_id, y ORDER BY x), u AS (PARTITION BY image_id, x ORDER BY y)),
+d{q} AS (SELECT *, lag(n) OVER h AS nw, lead(n) OVER h AS ne, lag(s) OVER h AS sw, lead(s) OVER h AS se FROM h{q} WINDOW h AS (PARTITION BY image_id, y ORDER BY x)),
+j{q} AS (SELECT *, coalesce((n = v)::INT, 0) + coalesce((s = v)::INT, 0) + coalesce((w = v)::INT, 0) + coalesce((e = v)::INT, 0) AS same, list_sort(list_filter([n, s, w, e], lambda z: z IS NOT NULL AND z <> v)) AS o,
+  coalesce(n = v AND nw = v AND ne = v, false) OR coalesce(s = v AND sw = v AND se = v, false) OR coalesce(w = v AND nw = v AND sw = v, false) OR coalesce(e = v AND ne = v AND se = v, false) AS flat FROM d{q}),
+{r} AS MATERIALIZED (SELECT image_id, x, y, m, CASE WHEN m AND same = 1 AND flat AND len(o) = 3 AND o[1] = o[3] THEN o[1] ELSE c END AS c FROM j{q})""")
+    return ", ".join(ctes)
+
+
 def queries() -> dict[str, str]:
     q: dict[str, str] = {}
     q["raster_allocation"] = """
@@ -174,7 +193,7 @@ SELECT p_partkey, sha256(p_name) AS content, sha256(sha256(p_name) || '#r' || (p
 SELECT p_partkey, greatest(256 // greatest(p_partkey % 300, p_size, 1), 1) AS preview, greatest(p_partkey % 60 - 2 * (p_size % 3 + 1), 0) AS body_w,
   CAST(greatest(p_size - 2 * (p_size % 3 + 1), 0) AS BIGINT) AS body_h, greatest(p_partkey % 16 - CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END, 1) AS budget FROM part"""
     q["status_merge"] = """
-WITH s AS (SELECT p_type, max(CASE WHEN p_partkey % 11 = 0 THEN 2 WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END) AS s FROM part WHERE p_size > 3 GROUP BY p_type)
+WITH s AS (SELECT p_type, max(CASE WHEN p_partkey % 11 = 0 THEN 2 WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END) AS s FROM part GROUP BY p_type)
 SELECT p_type, CASE s WHEN 2 THEN 'fail' WHEN 1 THEN 'review' ELSE 'pass' END AS status, CAST(CASE s WHEN 2 THEN 3 WHEN 1 THEN 2 ELSE 0 END AS BIGINT) AS exit_code FROM s"""
     colors = "colors AS (SELECT DISTINCT r, g, b FROM sprites)"
     grey = [sum(m * (((128 / 255 + 0.055) / 1.055) ** 2.4 * sum(row)) ** (1 / 3) for m, row in zip(lab, TO_LMS)) for lab in TO_LAB]
@@ -247,7 +266,7 @@ SELECT image_id, CAST(cell_row AS BIGINT) AS cell_row, CAST(cell_col AS BIGINT)
 SELECT image_id, br.n AS rows, bc.n AS cols FROM br JOIN bc USING (image_id) WHERE br.n * bc.n >= 2 AND br.n <= 16 AND bc.n <= 16""")
     q["crop_region"] = _with("c AS (SELECT image_id, x - 15 AS x, y - 7 AS y, r, g, b, a FROM sprites WHERE x >= 15 AND y BETWEEN 7 AND 12)", f"SELECT image_id, count(*) AS pixels, {_sum('r', 'g', 'b', 'a', 'x', 'y')} FROM c GROUP BY image_id")
     q["upscale_preview"] = _with("u AS (SELECT image_id, x * 3 + dx.i AS x, y * 3 + dy.i AS y, r, g, b, a FROM sprites, (SELECT unnest(range(0, 3)) AS i) dx, (SELECT unnest(range(0, 3)) AS i) dy WHERE a > 0)", f"SELECT image_id, count(*) AS pixels, {_sum('r', 'g', 'b', 'a', 'x', 'y')} FROM u GROUP BY image_id")
-    q["row_major_order"] = _with("n AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY y, x) AS n FROM sprites WHERE a = 255)", "SELECT image_id, n, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y FROM n WHERE n % 50 = 1")
+    q["row_major_order"] = _with("n AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY y, x) AS n FROM sprites WHERE a = 255)", "SELECT image_id, max(n) AS pixels, CAST(sum(n * (x + 31 * y)) AS BIGINT) AS checksum FROM n GROUP BY image_id")
     steps = [("min", "r", "x", "sprites", 2, "l1"), ("min", "l1", "y", "w1", 2, "low"), ("max", "r", "x", "w2", 2, "h1"), ("max", "h1", "y", "w3", 2, "high"), ("max", "g", "x", "w4", 3, "g1"), ("max", "g1", "y", "w5", 3, "grown")]
     q["window_min_max"] = _with(", ".join(f"w{k + 1} AS ({_frame(*s)})" for k, s in enumerate(steps)), """
 SELECT image_id, CAST(sum(low) AS BIGINT) AS low, CAST(sum(high) AS BIGINT) AS high, CAST(sum(grown) AS BIGINT) AS grown, CAST(sum(low * x + high * y) AS BIGINT) AS checksum FROM w6 GROUP BY image_id""")
@@ -273,6 +292,7 @@ pair AS (SELECT a.image_id, a.x, a.y, a.ok_l, b.x AS x2, b.y AS y2, b.ok_l AS l2
 edge AS (SELECT DISTINCT image_id, CASE WHEN ok_l <= l2 THEN x ELSE x2 END AS x, CASE WHEN ok_l <= l2 THEN y ELSE y2 END AS y FROM pair)""", f"{_SUM_XY} FROM edge GROUP BY image_id")
     q["orphan_merge"] = _with(_orphans(), f"SELECT image_id, {_sum('f // 16777216', 'f // 65536 % 256', 'f // 256 % 256', 'f % 256', 'x', 'y')} FROM fixed GROUP BY image_id")
     q["jaggy_cleanup"] = _with(JAGGY, f"SELECT image_id, {_sum('r', '50', '60', '255', 'x', 'y')}, count(*) FILTER (WHERE r = 10) AS dark FROM done GROUP BY image_id")
+    q["cleanup_converged"] = _with(_cleanup(4), f"SELECT image_id, {_sum('c // 16777216', 'c // 65536 % 256', 'c // 256 % 256', 'c % 256', 'x', 'y')} FROM px8 GROUP BY image_id")
     q["neighbour_pairs"] = _with(f"{EIGHT}, soft AS (SELECT image_id, x, y FROM sprites WHERE a > 0 AND a < 255)", f"""
 SELECT s.image_id, count(*) AS pairs, {_sum('s.x', 's.y', 'n.x', 'n.y')} FROM soft s, nb8 JOIN soft n ON n.image_id = s.image_id AND n.x = s.x + dx AND n.y = s.y + dy GROUP BY s.image_id""")
     q["outline_compare"] = _with(f"{RULED}, actual AS (SELECT * FROM sprites WHERE a > 0 AND a < 96)", """
@@ -290,6 +310,14 @@ SELECT image_id, CAST(x0 AS BIGINT) AS x0, CAST(y0 AS BIGINT) AS y0, CAST(x1 AS
     dark = f"{_lab_ctes('sprites')}, dark AS (SELECT image_id, x, y FROM lab WHERE a >= 96 AND ok_l < 0.45 AND x BETWEEN 4 AND 19 AND y BETWEEN 4 AND 19), {_flood('SELECT * FROM dark', False)}"
     q["eye_blobs"] = _with(dark + ", c AS (SELECT image_id, label, count(*) AS size, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM flood GROUP BY image_id, label)", """
 SELECT image_id, CAST(x0 AS BIGINT) AS x0, CAST(y0 AS BIGINT) AS y0, CAST(x1 AS BIGINT) AS x1, CAST(y1 AS BIGINT) AS y1 FROM c WHERE size >= 2 AND x1 - x0 <= 8""")
+    second = re.sub(r"\b(pts|isl|runs|near|spread|flood)\b", r"\g<1>2", _flood("SELECT image_id, x, y FROM dark", False))
+    q["heuristic_features"] = q["provider_features"] = _with(f"""{skin}, c AS (SELECT image_id, label, count(*) AS size, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM flood GROUP BY image_id, label),
+face AS (SELECT image_id, x0, y0, x1, y1 FROM c WHERE (x1 - x0) * (y1 - y0) <= 192 QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY size DESC, label) = 1),
+dark AS (SELECT l.image_id, l.x, l.y FROM lab l JOIN face f ON f.image_id = l.image_id AND l.x >= f.x0 AND l.x < f.x1 AND l.y >= f.y0 AND l.y < f.y1 WHERE l.a >= 96 AND l.ok_l < 0.45), {second},
+e AS (SELECT image_id, label, count(*) AS size, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM flood2 GROUP BY image_id, label),
+found AS (SELECT image_id, 'face' AS kind, x0, y0, x1, y1, CAST(0.6 AS DOUBLE) AS confidence FROM face UNION ALL
+  SELECT e.image_id, 'eye', e.x0, e.y0, e.x1, e.y1, CAST(0.5 AS DOUBLE) FROM e JOIN face f USING (image_id) WHERE e.size >= 2 AND e.x1 - e.x0 <= (f.x1 - f.x0) // 2)""", """
+SELECT image_id, kind, CAST(x0 AS BIGINT) AS x0, CAST(y0 AS BIGINT) AS y0, CAST(x1 AS BIGINT) AS x1, CAST(y1 AS BIGINT) AS y1, confidence FROM found""")
     pal = _lab_ctes("pal_rgb", prefix="p").replace("lab_lin", "plin").replace("lab_lms", "plms").replace("lab AS", "pal AS")
     near = "power(c.ok_l - p.pl, 2) + power(c.ok_a - p.pa, 2) + power(c.ok_b - p.pb, 2)"
     q["nearest_palette_remap"] = _with(f"""{PALETTE}, {pal}, colors AS (SELECT DISTINCT r, g, b FROM sprites), {_lab_ctes('colors')},
@@ -300,6 +328,16 @@ SELECT image_id, CAST(r2 AS BIGINT) AS r, CAST(g2 AS BIGINT) AS g, CAST(b2 AS BI
 best AS (SELECT c.image_id, c.n, c.ok_l, c.ok_a, c.ok_b, p.idx FROM lab c, pal p QUALIFY row_number() OVER (PARTITION BY c.image_id, c.r, c.g, c.b ORDER BY {near}, p.idx) = 1),
 moved AS (SELECT image_id, idx, sum(n * ok_l) / sum(n) AS l, sum(n * ok_a) / sum(n) AS a, sum(n * ok_b) / sum(n) AS b FROM best GROUP BY image_id, idx), ids AS (SELECT DISTINCT image_id FROM colors)""", f"""
 SELECT ids.image_id, CAST(p.idx AS BIGINT) AS idx, {_r('coalesce(m.l, p.pl)')} AS l, {_r('coalesce(m.a, p.pa)')} AS a, {_r('coalesce(m.b, p.pb)')} AS b FROM ids CROSS JOIN pal p LEFT JOIN moved m ON m.image_id = ids.image_id AND m.idx = p.idx""")
+    rounds = "c0 AS (SELECT ids.image_id, p.idx, p.pl AS l, p.pa AS a, p.pb AS b FROM ids CROSS JOIN pal p)"
+    for k in range(3):
+        far = "power(c.ok_l - p.l, 2) + power(c.ok_a - p.a, 2) + power(c.ok_b - p.b, 2)"
+        rounds += f""",
+b{k} AS (SELECT c.image_id, c.n, c.ok_l, c.ok_a, c.ok_b, p.idx FROM lab c JOIN c{k} p ON p.image_id = c.image_id QUALIFY row_number() OVER (PARTITION BY c.image_id, c.r, c.g, c.b ORDER BY {far}, p.idx) = 1),
+m{k} AS (SELECT image_id, idx, sum(n * ok_l) / sum(n) AS l, sum(n * ok_a) / sum(n) AS a, sum(n * ok_b) / sum(n) AS b FROM b{k} GROUP BY image_id, idx),
+c{k + 1} AS (SELECT p.image_id, p.idx, coalesce(m.l, p.l) AS l, coalesce(m.a, p.a) AS a, coalesce(m.b, p.b) AS b FROM c{k} p LEFT JOIN m{k} m ON m.image_id = p.image_id AND m.idx = p.idx)"""
+    last = _back("l", "a", "b")
+    q["lloyd_refine"] = _with(f"""{PALETTE}, {pal}, colors AS (SELECT image_id, r, g, b, count(*) AS n FROM sprites WHERE a >= 96 GROUP BY ALL), {_lab_ctes('colors')}, ids AS (SELECT DISTINCT image_id FROM colors), {rounds}""", f"""
+SELECT DISTINCT image_id, {last[0]} AS r, {last[1]} AS g, {last[2]} AS b FROM c3""")
     q["qa_gate"] = _with("""p AS (SELECT image_id, x, y, r, g, b, CASE WHEN image_id % 3 = 0 THEN a WHEN a >= 96 THEN 255 ELSE 0 END AS a, a >= 96 AND image_id % 10 <> 0 AS body FROM sprites),
 m AS (SELECT image_id, bool_and(a IN (0, 255)) AS is_binary, count(*) FILTER (WHERE body) AS body_pixels, count(DISTINCT CASE WHEN body THEN r * 65536 + g * 256 + b END) AS palette_colors,
   count(*) FILTER (WHERE body AND (x < 1 OR y < 1 OR x >= 23 OR y >= 23)) AS border FROM p GROUP BY image_id),

@@ -163,9 +163,9 @@ def target_arithmetic(spark, sf_dir):
 
 @query
 def status_merge(spark, sf_dir):
-    """The worst status of each brand, and its exit code."""
+    """The worst status of each type of part, and its exit code."""
     status = F.when(F.col("p_partkey") % 11 == 0, "fail").when(F.col("p_partkey") % 3 == 0, "review").otherwise("pass")
-    out = quality.worst(table(spark, sf_dir, "part").where("p_size > 3").select("p_type", status.alias("status")), ["p_type"])
+    out = quality.worst(table(spark, sf_dir, "part").select("p_type", status.alias("status")), ["p_type"])
     return out.select("p_type", "status", scalar.exit_code(F.col("status")).cast("long").alias("exit_code"))
 
 
@@ -400,9 +400,10 @@ def upscale_preview(spark, sf_dir):
 
 @query
 def row_major_order(spark, sf_dir):
-    """Pixels numbered row by row."""
+    """Pixels numbered row by row; a sum over all numbers and places of each image."""
     w = Window.partitionBy("image_id").orderBy("y", "x")
-    return longs(fixtures.sprites(spark, sf_dir).where("a = 255").withColumn("n", F.row_number().over(w)).where("n % 50 = 1").select("image_id", "n", "x", "y"))
+    numbered = fixtures.sprites(spark, sf_dir).where("a = 255").withColumn("n", F.row_number().over(w).cast("long"))
+    return numbered.groupBy("image_id").agg(F.max("n").alias("pixels"), F.sum(F.col("n") * (F.col("x") + 31 * F.col("y"))).alias("checksum"))
 
 
 # Windows -------------------------------------------------------------------------------------------------
