@@ -19,10 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Vectors meant for a shard; links of a vector on upper levels (twice that on the lowest); beam width.
 SHARD_ROWS, LINKS, BEAM = 8192, 16, 160
 #: Near vectors among which a vector's links are chosen; queries searched at a time.
-CANDIDATES, QUERY_BLOCK = 64, 2048
+CANDIDATES, QUERY_BLOCK = 64, 512
+#: Blocks for which a task loads a shard's index once; most tasks; columns of an index.
+BLOCKS_A_TASK, MOST_TASKS, INDEX = 8, 1 << 16, ("ids", "points", "owner", "sizes", "links")
 
 
 def _near(points: np.ndarray, k: int) -> np.ndarray:
@@ -222,18 +226,32 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 20, id_col: str = "vec
         ids, dim = part.column("id").to_numpy(), part.column("dim")[0].as_py()
         v = part.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim)
         order = np.argsort(ids, kind="stable")
-        return pa.table([pa.array([dim], pa.int32()), pa.array([ids[order].tobytes()], pa.binary()), pa.array([v[order].tobytes()], pa.binary())], names=["dim", "q_ids", "q"])
-
-    blocks = asked.withColumns({"block": F.pmod(F.xxhash64("id"), F.lit(n_blocks)), "dim": F.size("v")}).groupBy("block", "dim").applyInArrow(pack, "dim int, q_ids binary, q binary")
-    # Every block of queries meets every shard: an equality join on the shard's number.
-    dealt = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        cells = (dim, part.column("block")[0].as_py(), ids[order].tobytes(), v[order].tobytes())
+        return pa.table([pa.array([c], t) for c, t in zip(cells, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["dim", "block", "q_ids", "q"])
+
+    # Each shard's index goes to Python once for some blocks of queries: it comes first, its blocks follow row by row.
+    index = written(index)
+    some = F.floor(F.col("block") / BLOCKS_A_TASK).cast("long")
+    groups = -(-n_blocks // BLOCKS_A_TASK)
+    blocks = asked.withColumns({"block": F.pmod(F.xxhash64("id"), F.lit(n_blocks)), "dim": F.size("v")}).groupBy("block", "dim").applyInArrow(pack, "dim int, block long, q_ids binary, q binary")
+    none = lambda *names: [F.lit(None).cast("binary").alias(n) for n in names]
+    # Every block of queries meets every shard.
+    dealt = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("shard", "dim", some.alias("part"), F.lit(1).alias("kind"), *none(*INDEX), "q_ids", "q")
+    copies = index.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))).select("shard", "dim", "part", F.lit(0).alias("kind"), *INDEX, *none("q_ids", "q"))
+    pairs = copies.union(dealt).repartition(min(shards * groups, MOST_TASKS), "shard", "dim", "part").sortWithinPartitions("shard", "dim", "part", "kind")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
         for batch in batches:
-            for row in batch.to_pylist():
-                if last != (row["shard"], row["dim"]):
-                    last, held = (row["shard"], row["dim"]), _loaded(row)
+            for row in (dict(zip(batch.schema.names, r)) for r in zip(*batch.columns)):
+                row = {k: v.as_py() for k, v in row.items()}
+                if row["kind"] == 0:
+                    last, held = (row["shard"], row["dim"]), row
+                    continue
+                if last != (row["shard"], row["dim"]):  # no vector of this length in the shard
+                    continue
+                if isinstance(held, dict):  # an index that no query follows isn't loaded
+                    held = _loaded(held)
                 ids, owner, vectors, graph = held
                 q_ids = np.frombuffer(row["q_ids"], np.int64)
                 q = np.frombuffer(row["q"], np.float64).reshape(len(q_ids), -1)
@@ -243,7 +261,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 20, id_col: str = "vec
                 out: list[tuple[np.ndarray, ...]] = []
                 for i in range(len(q)):
                     near = found[i][found[i] >= 0]
-                    score = vectors[near] @ q[i]
+                    score = (vectors[near] * q[i]).cumsum(axis=1)[:, -1]  # summed in order, as SQL does
                     order = np.argsort(-score, kind="stable")
                     own_ids = np.concatenate([ids[by_point[begin[p] : min(begin[p + 1], begin[p] + k + 1)]] for p in near[order]])
                     own_score = np.repeat(score[order], np.minimum(begin[near[order] + 1] - begin[near[order]], k + 1))
@@ -254,7 +272,6 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 20, id_col: str = "vec
                 if out:
                     yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "vec_id", "score"])
 
-    pairs = index.join(dealt, ["shard", "dim"]).select("shard", "dim", "ids", "points", "owner", "sizes", "links", "q_ids", "q")
     hits = pairs.mapInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     distinct = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
@@ -265,3 +282,15 @@ def digest(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """The k nearest of each vector whose id is divisible by ``every``, among all others."""
     rows = embeddings.select("vec_id", "embedding")
     return nearest(rows.where(F.col("vec_id") % every == 0), rows, k)
+
+
+#: DuckDB form of ``digest``, by brute force: equal to it where a shard holds all vectors and search misses none.
+SQL = """
+WITH v AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL),
+u AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+  FROM u q JOIN u c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""

@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.SQL, "op3_decontamination": decontam.SQL, "op7_substring_dedup": substring_dedup.SQL, "op8_warc": warc.SQL}
+    return {"op2_line_dedup": line_dedup.SQL, "op3_decontamination": decontam.SQL, "op7_substring_dedup": substring_dedup.SQL, "op8_warc": warc.SQL, "op9_ann": ann.SQL}
