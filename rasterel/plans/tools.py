@@ -19,7 +19,10 @@ from rasterel.sources.sinks import write_files
 
 from . import convert as conversion
 from .convert import hex_color
-from .profile import Profile, ProfileError, parse_pair, resolve
+from .profile import Profile, parse_pair, resolve
+
+#: Tasks of a list that are converted one after another, and parts of a list at most.
+TASKS_A_PART, MOST_PARTS = 32, 65536
 
 
 def inspect_images(spark: SparkSession, path: str, max_pixels: int = images.MAX_PIXELS) -> DataFrame:
@@ -76,7 +79,7 @@ def convert_file(spark: SparkSession, path: str, output: str, profile: str = "ch
 
 
 def validate_pairs(sprites: DataFrame, profile: Profile) -> DataFrame:
-    """Findings on existing sprites: (path, sha256, width, height, data, error[, mask]) tiles, mask being RGBA as well.
+    """Findings on existing sprites: (path, sha256, width, height, data, error[, mask[, mask_width, mask_height]]) tiles, mask being RGBA as well.
 
     Without a mask, the body is what is opaque and hasn't the outline's colour. A mask of another size
     than its sprite is an error.
@@ -84,8 +87,8 @@ def validate_pairs(sprites: DataFrame, profile: Profile) -> DataFrame:
     color = hex_color(profile.outline.color)
     schema = "path string, sha256 string, width int, height int, mask_source string, dimension_valid boolean, alpha_binary boolean, body_pixels long, outline_pixels long, body_components long, palette_colors long, palette_limit long, outline_extra_pixels long, outline_missing_pixels long, outline_color_mismatch_pixels long, body_pixels_in_reserved_border long, error string"
 
-    def one(path, sha, w, h, data, error, mask) -> tuple:
-        if error is None and mask is not None and len(mask) != len(data):
+    def one(path, sha, w, h, data, error, mask, mask_width, mask_height) -> tuple:
+        if error is None and mask is not None and (len(mask) != len(data) or (mask_width or w, mask_height or h) != (w, h)):
             error = "the mask's size isn't the sprite's"
         if error is not None:
             return (path, sha, w, h, *[None] * 12, error)
@@ -109,8 +112,8 @@ def validate_pairs(sprites: DataFrame, profile: Profile) -> DataFrame:
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in schema.split(", ")])
 
-    mask = F.col("mask") if "mask" in sprites.columns else F.lit(None).cast("binary")
-    found = sprites.select("path", "sha256", "width", "height", "data", "error", mask.alias("mask")).mapInArrow(run, schema)
+    masks = [(F.col(n) if n in sprites.columns else F.lit(None).cast(t)).alias(n) for n, t in (("mask", "binary"), ("mask_width", "int"), ("mask_height", "int"))]
+    found = sprites.select("path", "sha256", "width", "height", "data", "error", *masks).mapInArrow(run, schema)
     gated = gate(found, profile.cleanup.max_body_components)
     return gated.withColumn("status", F.when(F.col("error").isNotNull(), "fail").otherwise(F.col("status")))
 
@@ -130,22 +133,25 @@ def validate_file(spark: SparkSession, path: str, profile: str = "character-48",
     """Findings on the sprites under a path, with one mask file if named."""
     tiles = images.scan(spark, path, max_pixels)
     if mask_path:
-        mask = images.scan(spark, mask_path, max_pixels).select(F.col("data").alias("mask")).limit(1)
-        tiles = tiles.crossJoin(F.broadcast(mask))  # one row
+        mask = images.scan(spark, mask_path, max_pixels).select(F.col("data").alias("mask"), F.col("width").alias("mask_width"), F.col("height").alias("mask_height"), F.col("error").alias("_unread")).limit(1)
+        tiles = tiles.crossJoin(F.broadcast(mask))  # one row, of max_pixels at most
+        tiles = tiles.withColumn("error", F.coalesce("error", F.concat(F.lit("mask: "), "_unread"))).drop("_unread")
     return validate_pairs(tiles, resolve(profile))
 
 
 def run_batch(spark: SparkSession, manifest: str, out_dir: str, profile: str = "character-48", resume: bool = False, check_profile: bool = False, max_pixels: int = images.MAX_PIXELS) -> tuple[DataFrame, str]:
     """Runs the tasks of a list; returns (line_no, id, status, line) in the list's order, and the worst status.
 
-    A task that fails is a line with its error. Tasks are grouped by profile and overrides, of which
-    there are few; each group is one pass over its images. With resume, a readable report of an
+    A task that fails is a line with its error; no tasks give no lines and pass. Settings are
+    columns, so that all tasks are one pass over their images, whatever profiles they name; a
+    task's profile is read by the task that converts it. With resume, a readable report of an
     earlier run stands for its task.
     """
     tasks = records.read_tasks(spark, manifest)
+    default = resolve(profile)
     output = F.coalesce("output", F.concat(F.lit(out_dir.rstrip("/") + "/"), "id", F.lit(".png")))
-    tasks = tasks.withColumns({"output": output, "report_path": conversion.artifact_paths(output)["report"], "profile": F.coalesce("profile", F.lit(profile))})
-    results = []
+    tasks = tasks.withColumns({"output": output, "report_path": conversion.artifact_paths(output)["report"]})
+    done = None
     if resume:
         try:
             earlier = records.earlier_reports(spark, f"{out_dir.rstrip('/')}/*.report.json")
@@ -154,53 +160,47 @@ def run_batch(spark: SparkSession, manifest: str, out_dir: str, profile: str = "
                 raise
             earlier = None
         if earlier is not None:
-            same = F.lit(resolve(profile).sha256) if check_profile else None
+            same = F.lit(default.sha256) if check_profile else None
             tasks, done = records.resume(tasks, earlier, same)
-            results.append(done.select("line_no", "id", F.col("report.status").alias("status"), F.to_json("report").alias("line")))
-    groups = tasks.select("profile", "size", "max_colors", "outline_color").distinct().limit(1001).collect()
-    if len(groups) > 1000:
-        raise ValueError("a task list may name 1000 different settings at most")
-    for g in groups:
-        own = tasks.where(F.struct("profile", "size", "max_colors", "outline_color").eqNullSafe(F.struct(*(F.lit(v).cast(t) for v, t in zip(g, ("string", "string", "int", "string"))))))
-        failed = F.to_json(F.struct("id", F.lit("fail").alias("status"), F.col("error")))
-        try:
-            settings = resolve(g.profile).with_overrides(g.size, g.max_colors, g.outline_color)
-        except (ProfileError, ValueError) as e:
-            results.append(own.withColumn("error", F.lit(str(e))).select("line_no", "id", F.lit("fail").alias("status"), failed.alias("line")))
-            continue
-        tiles = read_named(own.select("line_no", "id", "input", "output"), max_pixels)
-        done = conversion.convert(tiles, settings, F.col("output"), task_id=F.col("id")).persist()
-        write_files(conversion.files_of(done, F.col("output"))).count()
-        results.append(done.select("line_no", "id", "status", conversion.result_line(F.col("id")).alias("line")))
-    lines = results[0]
-    for r in results[1:]:
-        lines = lines.union(r)
+
+    def chosen(name: str | None, size: str | None, max_colors: int | None, outline_color: str | None) -> Profile:
+        return (default if name is None else resolve(name)).with_overrides(size, max_colors, outline_color)
+
+    parts = max(1, min(MOST_PARTS, -(-tasks.count() // TASKS_A_PART)))
+    settings = ("profile", "size", "max_colors", "outline_color")
+    tiles = read_named(tasks.select("line_no", "id", "input", "output", *(F.col(c).alias(f"own_{c}") for c in settings)).repartition(parts, "line_no"), max_pixels)
+    made = conversion.sprites(tiles, chosen, settings=[f"own_{c}" for c in settings])
+    made = conversion.reports(made, None, F.col("sha256"), F.col("output"), F.col("id")).persist()
+    write_files(conversion.files_of(made, F.col("output"))).count()
+    lines = made.select("line_no", "id", "status", conversion.result_line(F.col("id")).alias("line"))
+    if done is not None:
+        lines = lines.union(done.select("line_no", "id", F.col("report.status").alias("status"), F.to_json("report").alias("line")))
     lines = lines.persist()
     status = worst(lines).first()
+    made.unpersist()
     return records.in_order(lines), status.status if status and status.status else "pass"
 
 
 def read_named(tasks: DataFrame, max_pixels: int = images.MAX_PIXELS) -> DataFrame:
-    """Tiles of the files that tasks (line_no, id, input, output) name; each task reads its own file."""
-    schema = "line_no int, id string, output string, " + images.TILES
+    """Tiles of the files that tasks (line_no, input and any others) name, with all columns but input; each task reads its own file."""
+    passed = [c for c in tasks.columns if c != "input"]
+    schema = ", ".join(f"`{c}` {tasks.schema[c].dataType.simpleString()}" for c in passed) + ", " + images.TILES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for line_no, task, path, output in zip(*(c.to_pylist() for c in batch.columns)):
-                image = sha = error = None
+            line_no, named = (batch.column(batch.schema.get_field_index(c)) for c in ("line_no", "input"))
+            kept = [batch.column(batch.schema.get_field_index(c)) for c in passed]
+            for k in range(batch.num_rows):
+                path, image, sha, error = named[k].as_py(), None, None, None
                 try:
                     fs, name = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
                     with fs.open_input_file(name) as f:
                         content = f.read()
                     sha = hashlib.sha256(content).hexdigest()
-                    if content[:8].hex().upper() == images.PNG and int.from_bytes(content[16:20]) * int.from_bytes(content[20:24]) > max_pixels:
-                        error = f"more pixels than the limit of {max_pixels}"
-                    else:
-                        image = images.read_png(content)
+                    image = images.read_image(content, max_pixels)
                 except Exception as e:
                     error = f"{type(e).__name__}: {e}"
-                row = (line_no, path, sha, *((image.shape[1], image.shape[0], image.tobytes()) if image is not None else (None,) * 3), error)
-                tile = images.tile_batch([row])
-                yield pa.record_batch([pa.array([line_no], pa.int32()), pa.array([task]), pa.array([output]), *tile.columns], names=[x.split()[0] for x in schema.split(", ")])
+                tile = images.tile_batch([(line_no[k].as_py(), path, sha, *((image.shape[1], image.shape[0], image.tobytes()) if image is not None else (None,) * 3), error)])
+                yield pa.record_batch([*(c.slice(k, 1) for c in kept), *tile.columns], names=[*passed, *tile.schema.names])
 
     return tasks.mapInArrow(run, schema)

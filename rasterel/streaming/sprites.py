@@ -13,17 +13,22 @@ from pyspark.sql.streaming import StreamingQuery
 from rasterel.functions.scalar import stem
 from rasterel.plans import convert
 from rasterel.plans.profile import Profile
-from rasterel.sources.images import MAX_PIXELS, checked_files, png_tiles
+from rasterel.sources.images import MAX_PIXELS, checked_files, decode
 from rasterel.sources.sinks import write_files
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def arriving(spark: SparkSession, folder: str, profile: Profile, out_dir: str, max_pixels: int = MAX_PIXELS, files_per_batch: int = 1000) -> DataFrame:
-    """A streaming table of sprites and reports of the PNG files that arrive in a folder."""
-    files = spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.png").load(folder)
-    tiles = png_tiles(checked_files(files, max_pixels))
-    output = F.concat(F.lit(out_dir.rstrip("/") + "/"), stem(F.col("path")), F.lit(".png"))
+    """A streaming table of sprites and reports of the PNG and JPEG files that arrive in a folder.
+
+    ``a.png`` becomes ``a.png`` in the output folder, ``a.jpg`` becomes ``a.jpg.png``: names stay apart.
+    """
+    files = spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.{[pP][nN][gG],[jJ][pP][gG],[jJ][pP][eE][gG]}").load(folder)
+    tiles = decode(checked_files(files, max_pixels), max_pixels)
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    kept = F.when(F.lower(name).endswith(".png"), stem(F.col("path"))).otherwise(name)
+    output = F.concat(F.lit(out_dir.rstrip("/") + "/"), kept, F.lit(".png"))
     return convert.convert(tiles, profile, output).withColumn("output", output)
 
 
