@@ -5,9 +5,11 @@ Close fingerprints, found by the vantage-point trees of ``simhash``, are the fir
 differ in more bits than trees can search, so that the rest comes from prefixes: under any one order of
 all shingles, two such sets of which the larger has n shingles share ``SIMILARITY * n`` of them, so the first
 ``n - SIMILARITY * n + 1`` of each set have one in common. No pair is lost by that, and each candidate is
-verified, first by parity marks: a bit for each hash value modulo the mark's length tells whether an odd number of
+verified. The first token that two sets share, at place i of n and j of m in the order, leaves at most ``min(n - i, m - j)`` in
+common, and of the smaller set a shorter prefix will do. The next test is by parity marks: a bit for each hash value modulo the mark's length tells whether an odd number of
 shingles fell there, so that two sets differ in at least as many shingles as their marks differ in bits. Only pairs
-that this leaves possible are compared as sets. Shingles that are frequent in a sample of texts are last in
+that this leaves possible are compared as sets. A mark of 256 bits travels with each shared token, so that the join itself
+leaves out most pairs of a crowd that shares a token without being similar. Shingles that are frequent in a sample of texts are last in
 the order; the sample alters speed alone.
 
 Together with the fingerprints' candidates up to three leaders for each prefix shingle are compared, which is
@@ -30,6 +32,8 @@ from .simhash import RADIUS, links as close_fingerprints, of_hashes, shingle_has
 
 #: Least similarity of linked texts, and words in a shingle.
 SIMILARITY, SHINGLE = 0.8, 5
+#: Columns with a set's mark of 256 bits.
+SHORT = ["_s0", "_s1", "_s2", "_s3"]
 #: Texts sampled to tell frequent shingles, texts of the sample that make one frequent, most of them told.
 SAMPLE_ROWS, FREQUENT, MOST_FREQUENT = 8192, 4, 1 << 18
 
@@ -53,6 +57,12 @@ def _mark(grams: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def _short_mark(grams: np.ndarray) -> np.ndarray:
+    """The parity of the number of shingles by hash modulo 256, as four numbers."""
+    odd = np.bincount(((grams >> np.uint64(9)) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _may_be_similar(a: bytes, b: bytes, n: int, m: int, similarity: float) -> bool:
     """Whether marks of sets of n and m shingles allow the similarity: at most (n + m) * (1 - s) / (1 + s) shingles may differ."""
     a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -123,17 +133,17 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for part, sets in _sets(batches, shingle, fps):
             keys = np.array([_key(s) for s in sets], np.uint64).view(np.int64)
             sizes = pa.array([len(s) for s in sets], pa.int32())
-            yield pa.record_batch([part.column(0), part.column(1), pa.array(keys), pa.array(np.array(fps, np.uint64).view(np.int64)), sizes, pa.array([_mark(s) for s in sets], pa.binary()), _lists([_prefix(s, common.value, similarity) for s in sets])], names=["doc_id", "text_hash", "key", "fp", "n", "mark", "prefix"])
+            yield pa.record_batch([part.column(0), part.column(1), pa.array(keys), pa.array(np.array(fps, np.uint64).view(np.int64)), sizes, pa.array([_mark(s) for s in sets], pa.binary()), _lists([_short_mark(s).view(np.uint64) for s in sets]), _lists([_prefix(s, common.value, similarity) for s in sets])], names=["doc_id", "text_hash", "key", "fp", "n", "mark", "short", "prefix"])
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, shingle):
             yield pa.record_batch([part.column(0), _lists(sets)], names=["key", "grams"])
 
-    made = written(own.mapInArrow(make, "doc_id long, text_hash long, key long, fp long, n int, mark binary, prefix array<long>"))
+    made = written(own.mapInArrow(make, "doc_id long, text_hash long, key long, fp long, n int, mark binary, short array<long>, prefix array<long>"))
     first = written(made.groupBy("key").agg(F.min(F.struct(doc_order(F.col("doc_id")).alias("id"), "text_hash")).alias("_first")))
-    rows = made.select(F.explode("prefix").alias("token"), "key", "n")
+    rows = made.select(F.posexplode("prefix").alias("place", "token"), "key", "n", *(F.get("short", F.lit(k)).alias(c) for k, c in enumerate(SHORT)))
     repeated = written(rows.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("token"))
-    shared = written(rows.join(repeated, "token").distinct())
+    shared = written(rows.join(repeated, "token").dropDuplicates(["token", "key"]))
     forget(repeated)
     marks = written(made.select("key", "n", "mark").dropDuplicates(["key"]))
 
@@ -175,9 +185,18 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     linked = links(pairs)
     roots = connected_components(linked).select(F.col("node").alias("key"), "root")
     told = written(shared.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
-    other = told.select("token", F.col("key").alias("b"), F.col("n").alias("m"), F.col("root").alias("_r"))
-    rest = told.withColumnRenamed("key", "a").join(other, "token").where((F.col("a") > F.col("b")) & (F.col("root") != F.col("_r")) & near(F.col("n"), F.col("m")))
-    more = links(rest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
+    # b is the smaller set of a pair, or the one with the smaller key: at least 2s / (1 + s) of it is shared.
+    share = F.lit(similarity / (1 + similarity))
+    index = told.where(F.col("n") - F.col("place") >= 2 * share * F.col("n") - 1e-6)
+    other = index.select("token", F.col("key").alias("b"), F.col("n").alias("m"), F.col("root").alias("_r"), F.col("place").alias("_p"), *(F.col(c).alias(f"{c}b") for c in SHORT))
+    total = F.col("n") + F.col("m")
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}b"))) for c in SHORT), F.lit(0))
+    larger = (F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") > F.col("b")))
+    fits = near(F.col("n"), F.col("m")) & (F.least(F.col("n") - F.col("place"), F.col("m") - F.col("_p")) >= share * total - 1e-6)
+    fits &= apart <= total * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
+    rest = told.withColumnRenamed("key", "a").join(other, "token").where(larger & (F.col("root") != F.col("_r")) & fits)
+    rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    more = links(rest.distinct().join(pairs, ["a", "b"], "left_anti"))
     forget(shared, pairs, told, marks)
     roots = connected_components(linked.union(more)).select(F.col("node").alias("key"), "root")
 
@@ -185,4 +204,4 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lowest = written(members.where("root IS NOT NULL").groupBy("root").agg(F.min("_first").alias("_low")))
     ids = members.join(lowest, "root", "left").select(F.col("key").alias("_key"), F.coalesce("_low", "_first").alias("_low"))
     mine = F.struct(doc_order(F.col("doc_id")).alias("id"), "text_hash")
-    return made.drop("prefix", "mark").join(ids, made.key == ids._key).select("doc_id", "text_hash", (mine == F.col("_low")).alias("kept"))
+    return made.drop("prefix", "mark", "short").join(ids, made.key == ids._key).select("doc_id", "text_hash", (mine == F.col("_low")).alias("kept"))
