@@ -15,12 +15,12 @@ from rasterel.functions.color import Lab, is_skin, with_oklab
 from rasterel.sources.shared import written
 
 from . import kernels
-from .pixels import KEY
+from .pixels import KEY, whole
 
 
 def labelled(points: DataFrame, connectivity: int = 8, method: str = "kernel") -> DataFrame:
     """(image_id, x, y, label) of a set of pixels; a label is the first pixel, row by row, as y << 32 | x."""
-    own = points.select("image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
+    own = _places(points)
     if method == "sql":
         return _by_runs(own, connectivity)
 
@@ -36,18 +36,30 @@ def labelled(points: DataFrame, connectivity: int = 8, method: str = "kernel") -
     return own.groupBy("image_id").applyInArrow(run, "image_id long, x int, y int, label long")
 
 
-def _by_runs(points: DataFrame, connectivity: int) -> DataFrame:
-    line = Window.partitionBy("image_id", "y").orderBy("x")
-    marked = points.withColumn("_i", F.col("x") - F.row_number().over(line))
+def _places(points: DataFrame) -> DataFrame:
+    return points.select("image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
+
+
+def _marked(points: DataFrame) -> DataFrame:
+    """points plus ``_i``, which the pixels of one run share."""
+    return points.withColumn("_i", F.col("x") - F.row_number().over(Window.partitionBy("image_id", "y").orderBy("x")))
+
+
+def _labelled_runs(marked: DataFrame, connectivity: int) -> DataFrame:
+    """(image_id, y, _i, label) of each run."""
     runs = marked.groupBy("image_id", "y", "_i").agg(F.min("x").alias("b"), F.max("x").alias("e"))
     node = F.shiftleft(F.col("y").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))
     runs = written(runs.select("image_id", "y", "b", "e", "_i", node.alias("n")))
     below = runs.select("image_id", (F.col("y") - 1).alias("y"), F.col("b").alias("b2"), F.col("e").alias("e2"), F.col("n").alias("n2"))
     reach = int(connectivity == 8)
-    edges = runs.join(below, ["image_id", "y"]).where((F.col("b2") <= F.col("e") + reach) & (F.col("e2") >= F.col("b") - reach)).select("image_id", F.col("n2").alias("a"), F.col("n").alias("b"))
-    roots = _roots(edges)
-    named = runs.join(roots, (runs.image_id == roots.image_id) & (runs.n == roots.node), "left").select(runs.image_id, "y", "_i", F.coalesce("root", "n").alias("label"))
-    return marked.join(named, ["image_id", "y", "_i"]).select("image_id", "x", "y", "label")
+    edges = runs.join(whole(below), ["image_id", "y"]).where((F.col("b2") <= F.col("e") + reach) & (F.col("e2") >= F.col("b") - reach)).select("image_id", F.col("n2").alias("a"), F.col("n").alias("b"))
+    roots = whole(_roots(edges).withColumnRenamed("node", "n"))
+    return runs.join(roots, ["image_id", "n"], "left").select("image_id", "y", "_i", F.coalesce("root", "n").alias("label"))
+
+
+def _by_runs(points: DataFrame, connectivity: int) -> DataFrame:
+    marked = _marked(points)
+    return marked.join(whole(_labelled_runs(marked, connectivity)), ["image_id", "y", "_i"]).select("image_id", "x", "y", "label")
 
 
 def _roots(edges: DataFrame) -> DataFrame:
@@ -57,9 +69,9 @@ def _roots(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = now.union(now.select("image_id", F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("image_id", "a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(low, ["image_id", "a"]).select("image_id", F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(whole(low), ["image_id", "a"]).select("image_id", F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("image_id", "a").agg(F.min("b").alias("m"))
-        small = large.join(low, ["image_id", "a"]).select("image_id", F.explode(F.array("a", "b")).alias("n"), "m").where("n <> m")
+        small = large.join(whole(low), ["image_id", "a"]).select("image_id", F.explode(F.array("a", "b")).alias("n"), "m").where("n <> m")
         now = written(small.select("image_id", F.col("n").alias("a"), F.col("m").alias("b")).distinct())
         after = now.agg(mark).first()[0]
         if after == before:
@@ -75,7 +87,9 @@ def component_boxes(labels: DataFrame) -> DataFrame:
 
 def component_count(points: DataFrame, connectivity: int = 8, method: str = "kernel") -> DataFrame:
     """(image_id, components) of images with any set pixel."""
-    return labelled(points, connectivity, method).groupBy(KEY).agg(F.count_distinct("label").alias("components"))
+    # The runs of a row and their components say as much as all their pixels.
+    named = _labelled_runs(_marked(_places(points)), connectivity) if method == "sql" else labelled(points, connectivity, method)
+    return named.groupBy(KEY).agg(F.count_distinct("label").alias("components"))
 
 
 def without_small(points: DataFrame, least: int, method: str = "kernel") -> DataFrame:
