@@ -228,7 +228,7 @@ def corner_background_mask(spark, sf_dir):
     """Foreground by the corners' colour, in images that are opaque."""
     opaque = fixtures.sprites(spark, sf_dir).withColumn("a", F.lit(255))
     fg = px.foreground(opaque).groupBy("image_id").agg(F.count_if("fg").alias("fg_pixels"), F.max("mask_source").alias("mask_source"))
-    return longs(px.corner_colors(opaque).join(fg, "image_id"))
+    return longs(px.corner_colors(opaque).join(px.whole(fg), "image_id"))
 
 
 @query

@@ -6,7 +6,7 @@ from rasterel.operators import palettes
 from rasterel.plans import registry
 
 
-@pytest.mark.parametrize("name", ["component_count_by_runs", "lloyd_round", "lloyd_refine", "sheet_slice_cell"])
+@pytest.mark.parametrize("name", ["component_count_by_runs", "lloyd_round", "lloyd_refine", "sheet_slice_cell", "corner_background_mask"])
 def test_pixels_are_not_broadcast(spark, sf_dir, name):
     assert "BroadcastExchange" not in registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
 
