@@ -1,6 +1,6 @@
 """Connected components of masks, in two forms, and what is read off them.
 
-The kernel form labels one image a task. The relational form cuts rows into runs and joins runs of
+The kernel form holds images as a whole, many at once. The relational form cuts rows into runs and joins runs of
 neighbouring rows; only runs take part in the rounds, so that an image may be larger than a task.
 """
 
@@ -15,7 +15,7 @@ from rasterel.functions.color import Lab, is_skin, with_oklab
 from rasterel.sources.shared import written
 
 from . import kernels
-from .pixels import KEY, whole
+from .pixels import KEY, kept, per_key, place, whole
 
 
 def labelled(points: DataFrame, connectivity: int = 8, method: str = "kernel") -> DataFrame:
@@ -24,16 +24,21 @@ def labelled(points: DataFrame, connectivity: int = 8, method: str = "kernel") -
     if method == "sql":
         return _by_runs(own, connectivity)
 
-    def run(part: pa.Table) -> pa.Table:
-        x, y = part.column("x").to_numpy(), part.column("y").to_numpy()
-        x0, y0 = int(x.min()), int(y.min())
-        mask = np.zeros((int(y.max()) - y0 + 1, int(x.max()) - x0 + 1), bool)
-        mask[y - y0, x - x0] = True
-        first = kernels.label(mask, connectivity)[y - y0, x - x0].astype(np.int64)
-        label = (first // mask.shape[1] + y0) << 32 | (first % mask.shape[1] + x0)
-        return pa.table({"image_id": part.column("image_id"), "x": part.column("x"), "y": part.column("y"), "label": pa.array(label)})
+    def run(batches):
+        for batch in batches:
+            start, at = kernels.lists(batch.column("at"))
+            x, y = kernels.places(at)
+            label = np.empty(len(at), np.int64)
+            for p, row, col, shape in kernels.canvases(x, y, start):
+                mask = np.zeros(shape, bool)
+                mask[row, col] = True
+                first = kernels.label(mask, connectivity)[row, col].astype(np.int64)
+                label[p] = (first // shape[1] + y[p] - row) << 32 | (first % shape[1] + x[p] - col)
+            owner = pa.array(np.repeat(np.arange(len(start) - 1), np.diff(start)))
+            yield pa.record_batch({"image_id": batch.column("image_id").take(owner), "x": pa.array(x.astype(np.int32)), "y": pa.array(y.astype(np.int32)), "label": pa.array(label)})
 
-    return own.groupBy("image_id").applyInArrow(run, "image_id long, x int, y int, label long")
+    images = own.groupBy("image_id").agg(F.collect_list(place()).alias("at")).where("size(at) > 0")
+    return images.select(F.col("image_id").cast("long").alias("image_id"), "at").mapInArrow(run, "image_id long, x int, y int, label long")
 
 
 def _places(points: DataFrame) -> DataFrame:
@@ -102,12 +107,12 @@ def without_small(points: DataFrame, least: int, method: str = "kernel") -> Data
 
 def skin(pixels: DataFrame) -> DataFrame:
     """The pixels of skin colour that are solid enough."""
-    return with_oklab(pixels.where("a >= 96")).where(is_skin(Lab.of("ok_"))).select(*pixels.columns)
+    return kept(with_oklab(pixels.where("a >= 96")), is_skin(Lab.of("ok_"))).select(*pixels.columns)
 
 
 def faces(pixels: DataFrame, sizes: DataFrame, method: str = "kernel") -> DataFrame:
     """(image_id, x0, y0, x1, y1): the largest 4-connected skin patch whose box is a third of the image at most."""
-    boxes = component_boxes(labelled(skin(pixels), 4, method)).join(sizes, KEY)
+    boxes = component_boxes(labelled(skin(pixels), 4, method)).join(per_key(sizes), KEY)
     fits = boxes.where((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) <= F.floor(F.col("width").cast("long") * F.col("height") / 3))
     first = Window.partitionBy("image_id").orderBy(F.desc("size"), "label")
     return fits.withColumn("_k", F.row_number().over(first)).where("_k = 1").select("image_id", "x0", "y0", "x1", "y1")

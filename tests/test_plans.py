@@ -1,8 +1,9 @@
 """Plans of raster queries at sizes that Spark can't tell from the tables: exploded pixels aren't in its estimates."""
 
+import numpy as np
 import pytest
 
-from rasterel.operators import palettes
+from rasterel.operators import kernels, palettes
 from rasterel.operators import pixels as px
 from rasterel.plans import registry
 
@@ -24,3 +25,26 @@ def test_pairs_of_repeated_points_and_none_without_image(spark):
     points = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (1, 1, 0), (1, 5, 5), (None, 0, 0), (None, 1, 0)], "image_id long, x int, y int")
     got = sorted(tuple(r) for r in px.neighbour_pairs(points).collect())
     assert got == [(1, 0, 0, 1, 0)] * 2 + [(1, 1, 0, 0, 0)] * 2
+
+
+@pytest.mark.parametrize("name", ["skin_face_bbox"])
+def test_images_are_computed_many_at_once(spark, sf_dir, name):
+    plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan and "BroadcastExchange" not in plan
+    assert plan.count("CBRT") <= 6  # three roots a pixel and projection, faces and eyes
+
+
+def test_canvases_keep_images_apart():
+    rng = np.random.default_rng(5)
+    masks = [rng.random((h, w)) < 0.5 for h, w in [(1, 1), (3, 9), (8, 2), (30, 30), (2, 2)]]
+    masks = [m for m in masks if m.any()]
+    y, x = (np.concatenate([np.nonzero(m)[k] for m in masks]) for k in (0, 1))
+    start = np.concatenate([[0], np.cumsum([m.sum() for m in masks])])
+    for most in (1, 200, 1 << 18):
+        got = []
+        for p, row, col, shape in kernels.canvases(x - 4, y - 7, start, most):
+            drawn = np.zeros(shape, bool)
+            drawn[row, col] = True
+            got += (kernels.label(drawn)[row, col] - row * shape[1] - col).tolist()  # how far before a pixel its label is
+            assert drawn.sum() == p.stop - p.start
+        assert sum(v == 0 for v in got) == sum(len(np.unique(kernels.label(m)[m])) for m in masks) and len(got) == len(x)
