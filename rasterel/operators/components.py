@@ -121,15 +121,15 @@ def faces(pixels: DataFrame, sizes: DataFrame, method: str = "kernel") -> DataFr
 def eyes(pixels: DataFrame, face_boxes: DataFrame, method: str = "kernel") -> DataFrame:
     """(image_id, x0, y0, x1, y1) of small dark 4-connected blobs within faces."""
     face = face_boxes.select("image_id", *(F.col(c).alias(f"f{c}") for c in ("x0", "y0", "x1", "y1")))
-    inside = pixels.join(face, KEY).where("x >= fx0 and x < fx1 and y >= fy0 and y < fy1 and a >= 96")
-    dark = with_oklab(inside).where("ok_l < 0.45")
-    boxes = component_boxes(labelled(dark, 4, method)).join(face, KEY)
+    inside = pixels.join(per_key(face), KEY).where("x >= fx0 and x < fx1 and y >= fy0 and y < fy1 and a >= 96")
+    dark = kept(with_oklab(inside), F.col("ok_l") < 0.45)
+    boxes = component_boxes(labelled(dark, 4, method)).join(per_key(face), KEY)
     return boxes.where((F.col("size") >= 2) & (F.col("x1") - F.col("x0") <= F.floor((F.col("fx1") - F.col("fx0")) / 2))).select("image_id", "x0", "y0", "x1", "y1")
 
 
 def feature_regions(pixels: DataFrame, sizes: DataFrame, method: str = "kernel") -> DataFrame:
     """(image_id, kind, x0, y0, x1, y1, confidence): faces and eyes by colour alone."""
-    face = faces(pixels, sizes, method)
+    face = written(faces(pixels, sizes, method))  # read three times
     box = ["image_id", "x0", "y0", "x1", "y1"]
     tag = lambda df, kind, c: df.select("image_id", F.lit(kind).alias("kind"), *box[1:], F.lit(c).alias("confidence"))
     return tag(face, "face", 0.6).union(tag(eyes(pixels, face, method), "eye", 0.5))

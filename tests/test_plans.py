@@ -27,7 +27,7 @@ def test_pairs_of_repeated_points_and_none_without_image(spark):
     assert got == [(1, 0, 0, 1, 0)] * 2 + [(1, 1, 0, 0, 0)] * 2
 
 
-@pytest.mark.parametrize("name", ["skin_face_bbox"])
+@pytest.mark.parametrize("name", ["skin_face_bbox", "heuristic_features"])
 def test_images_are_computed_many_at_once(spark, sf_dir, name):
     plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInArrow" not in plan and "BroadcastExchange" not in plan
